@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +11,18 @@ WEIGHTS_11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 WEIGHTS_12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 
 
-def _digit(text: Column, at: int) -> Column:
-    return F.ascii(F.substring(text, at, 1)) - F.lit(48)
+def _digit(text: Column, at: Column | int) -> Column:
+    return F.ascii(F.substring(text, F.lit(at) if isinstance(at, int) else at, F.lit(1))) - F.lit(48)
 
 
 def _control(text: Column, weights: tuple[int, ...]) -> Column:
-    total = reduce(lambda a, b: a + b, (_digit(text, k) * F.lit(w) for k, w in enumerate(weights, 1)))
-    return total % 11 % 10
+    # a fold over constant (place, weight) pairs: written out term by term, the generated code would be too long to compile
+    pairs = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(w).alias("w")) for k, w in enumerate(weights, 1)])
+    return F.aggregate(pairs, F.lit(0), lambda total, x: total + _digit(text, x.at) * x.w) % 11 % 10
 
 
 def inn_valid(text: Column) -> Column:
-    """True where `text` is 10 or 12 ASCII digits with right check digits; false otherwise, also for null."""
+    """`text` should be a plain column, as it is read once a digit. True where it is 10 or 12 ASCII digits with right check digits; false otherwise, also for null."""
     ten = text.rlike("^[0-9]{10}$") & (_control(text, WEIGHTS_10) == _digit(text, 10))
     twelve = text.rlike("^[0-9]{12}$") & (_control(text, WEIGHTS_11) == _digit(text, 11)) & (_control(text, WEIGHTS_12) == _digit(text, 12))
     return F.coalesce(F.when(F.length(text) == 10, ten).when(F.length(text) == 12, twelve), F.lit(False))
