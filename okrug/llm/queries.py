@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from okrug.llm.binpack import pack_documents
+from okrug.llm.canonical import map_to_canon
 from okrug.llm.contamination import leaked_passages
 from okrug.llm.split import split_documents
 from okrug.llm.tokens import token_count
@@ -20,6 +21,14 @@ def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[int, i
     return [(r["limit_id"], r["max_tokens"], r["overlap_tokens"] or 0) for r in rows]
 
 
+PLACE_FIELDS = {"district_raw": "district", "city_raw": "city", "locality_raw": "locality"}
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of place_refs that each typed district, city or locality means."""
+    return map_to_canon(load(spark, sf_dir, "msp_snapshot_rows"), "row_id", PLACE_FIELDS, load(spark, sf_dir, "place_refs"), context="district_raw").select("row_id", "field", "place_id")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's containers and places in them, for each limit of purpose `pack`."""
     sizes = load(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
@@ -42,4 +51,4 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(load(spark, sf_dir, "documents"), _limits(spark, sf_dir, "split"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
