@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from okrug.llm.binpack import pack_documents
 from okrug.llm.canonical import map_to_canon
 from okrug.llm.contamination import leaked_passages
+from okrug.llm.entity_match import attributes, match_cascade
 from okrug.llm.split import split_documents
 from okrug.llm.tokens import token_count
-from okrug.session import load
+from okrug.operators.badrows import amount_value, stripped
+from okrug.operators.timestamps import normalise_timestamps
+from okrug.session import load, written
 
 
 def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[int, int, int]]:
@@ -21,6 +24,24 @@ def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[int, i
     return [(r["limit_id"], r["max_tokens"], r["overlap_tokens"] or 0) for r in rows]
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register's contract that each observation shows, with the rule that found it and its confidence."""
+    contracts = load(spark, sf_dir, "contracts_msp_enriched").select("canonical_contract_id", "contract_number", "sign_date", "import_source_id", "amount", "amount_cents", "customer", "subject").where(F.col("canonical_contract_id").isNotNull())
+    contracts = normalise_timestamps(contracts, "sign_date", "import_source_id", load(spark, sf_dir, "sources"))
+    cents = F.coalesce(F.col("amount_cents"), (amount_value(stripped(F.col("amount"))) * 100).cast("bigint"))
+    register = written(attributes(contracts.withColumn("id", F.xxhash64("canonical_contract_id")), "id", "contract_number", cents, "utc_epoch", "customer", "subject"), "register-attributes")
+    seen = load(spark, sf_dir, "atmo_contract_observations").withColumn("utc_epoch", F.unix_seconds(F.try_to_timestamp("contract_at_utc")))
+    observations = written(attributes(seen, "row_id", "registration_number", F.col("price_kopecks"), "utc_epoch", "customer_name", "subject"), "observation-attributes")
+    matched = match_cascade(observations, register)
+    names = contracts.select("canonical_contract_id").distinct().withColumn("match", F.xxhash64("canonical_contract_id"))
+    return matched.join(names, "match").select(F.col("id").alias("atmo_row_id"), "canonical_contract_id", "rule", "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of observation and contract that show the same contract."""
+    return p5_matches(spark, sf_dir).select("atmo_row_id", "canonical_contract_id")
+
+
 PLACE_FIELDS = {"district_raw": "district", "city_raw": "city", "locality_raw": "locality"}
 
 
@@ -51,4 +72,4 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(load(spark, sf_dir, "documents"), _limits(spark, sf_dir, "split"))
 
 
-QUERIES = {"p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
