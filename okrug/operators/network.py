@@ -36,7 +36,8 @@ def knn(edges: DataFrame, k: int, n: int | None = None) -> DataFrame:
 
 def pairs_of(left: DataFrame, key: str, columns: list[str], on: str | None = None) -> DataFrame:
     """Pairs of different entities, i < j, that meet in `on` (a period); columns come as x_i and x_j."""
-    take = lambda s: left.select(F.col(key).alias(s), *[F.col(on)] * bool(on), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    shared = [on] if on else []
+    take = lambda s: left.select(F.col(key).alias(s), *shared, *[F.col(c).alias(f"{c}_{s}") for c in columns])
     i, j = take("i"), take("j")
     return i.join(j, on).where("i < j") if on else i.join(j, F.col("i") < F.col("j"))
 

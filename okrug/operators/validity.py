@@ -21,19 +21,23 @@ def centroids(points: DataFrame, label: str, vector: str) -> DataFrame:
     return flat.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s.m).alias("c"), F.max("n").alias("n"))
 
 
-def silhouettes(points: DataFrame, key: str, label: str, vector: str, blocks: int = 8) -> DataFrame:
+def silhouettes(points: DataFrame, key: str, label: str, vector: str, rows_a_block: int = 2000) -> DataFrame:
     """(key, label, s): exact Euclidean silhouettes, 0 for clusters of one.
 
-    Rows are dealt to blocks; each block of rows meets each other block once, as arrays, so that the n^2 distances are computed
-    in numpy, blocks x blocks tasks at a time, and only per-cluster sums leave a task.
+    Rows are dealt to blocks of about `rows_a_block`; each block of rows meets each other block once, as arrays, so that the n^2
+    distances are computed in numpy, in groups of bounded size, and only per-cluster sums leave a group.
     """
+    blocks = max(8, -(-points.count() // rows_a_block))
     kind, lab = dict(points.dtypes)[key], dict(points.dtypes)[label]
     p = points.select(F.col(key).alias("id"), F.col(label).alias("lab"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = p.withColumn("other", each).select("b", "other", "id", "lab", "v")
-    cols = p.withColumn("mine", each).select(F.col("mine").alias("b"), F.col("b").alias("other"), "id", "lab", "v")
-
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    # both roles of a row as one column of structs: a co-group of a table with itself would confuse its columns
+    n = F.lit(blocks - 1)
+    role = lambda mine, other, left: F.struct(mine.cast("int").alias("b"), other.cast("int").alias("other"), F.lit(left).alias("left"))
+    roles = F.transform(F.sequence(F.lit(0), n), lambda k: role(F.col("b"), k, True)), F.transform(F.sequence(F.lit(0), n), lambda k: role(k, F.col("b"), False))
+    met = p.withColumn("x", F.explode(F.concat(*roles))).select("x.*", "id", "lab", "v")
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["left"]], group[~group["left"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "lab": [], "g": [], "total": [], "n": []})
         x, y = np.stack(left["v"]), np.stack(right["v"])
@@ -42,9 +46,9 @@ def silhouettes(points: DataFrame, key: str, label: str, vector: str, blocks: in
         names, at = np.unique(right["lab"], return_inverse=True)
         total, n = d @ np.eye(len(names))[at], np.bincount(at)
         k = len(names)
-        return pd.DataFrame({"id": left["id"].repeat(k).to_numpy(), "lab": left["lab"].repeat(k).to_numpy(), "g": np.tile(names, len(left)), "total": total.ravel(), "n": np.tile(n, len(left))})
+        return pd.DataFrame({"id": left["id"].to_numpy().repeat(k), "lab": left["lab"].to_numpy().repeat(k), "g": np.tile(names, len(left)), "total": total.ravel(), "n": np.tile(n, len(left))})
 
-    part = rows.groupBy("b", "other").cogroup(cols.groupBy("b", "other")).applyInPandas(sums, f"id {kind}, lab {lab}, g {lab}, total double, n bigint")
+    part = met.groupBy("b", "other").applyInPandas(sums, f"id {kind}, lab {lab}, g {lab}, total double, n bigint")
     whole = part.groupBy("id", "lab", "g").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
     own, other = F.col("g") == F.col("lab"), F.col("g") != F.col("lab")
     ab = whole.groupBy("id", "lab").agg(F.max(F.when(own, F.when(F.col("n") > 1, F.col("t") / (F.col("n") - 1)))).alias("a"), F.min(F.when(other, F.col("t") / F.col("n"))).alias("b"))
