@@ -73,3 +73,10 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
+
+PLAIN = r"regexp_extract_all(translate(lower(regexp_replace(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')), 'ёaceopx', 'еасеорх'), '[\p{L}\p{N}]+')"
+RUNS = "SELECT {0}, list_slice(w, k, k + 11) AS run FROM (SELECT {0}, w, unnest(generate_series(1, len(w) - 11)) AS k FROM (SELECT {0}, " + PLAIN + " AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 12)"
+ORACLE = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({RUNS.replace('{0}', 'doc_id').replace('{1}', 'documents')}) d JOIN ({RUNS.replace('{0}', 'item_id').replace('{1}', 'eval_items')}) i ON d.run = i.run",
+    "p10_found": r"SELECT limit_id, doc_id FROM documents JOIN text_limits ON purpose = 'split' WHERE len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{A0}\x{85}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+')) > max_tokens",
+}
