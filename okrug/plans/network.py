@@ -236,7 +236,7 @@ def t1_spearman_tests(spark, sf):
     return T.spearman_pairs(_metrics(spark, sf), "mo", "metric", "value")
 
 
-@query("""WITH s AS (SELECT c_nationkey AS mo, year(o_orderdate) * 12 + month(o_orderdate) AS t, count(*)::DOUBLE AS x, sum(o_totalprice) AS y FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), l AS (SELECT unnest([-2, -1, 0, 1, 2]) AS lag), j AS (SELECT a.mo, lag, a.x, b.y FROM s a JOIN l ON true JOIN s b ON b.mo = a.mo AND b.t = a.t + lag) SELECT mo, CAST(lag AS INT) AS lag, count(*) AS n, round(corr(x, y), 5) AS r FROM j GROUP BY 1, 2 HAVING count(*) >= 10""")
+@query("""WITH s AS (SELECT c_nationkey AS mo, year(o_orderdate) * 12 + month(o_orderdate) AS t, count(*)::DOUBLE AS x, sum(o_totalprice) AS y FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), l AS (SELECT unnest([-2, -1, 0, 1, 2]) AS lag), j AS (SELECT a.mo, lag, a.x, b.y FROM s a JOIN l ON true JOIN s b ON b.mo = a.mo AND b.t = a.t + lag) SELECT * FROM (SELECT mo, CAST(lag AS INT) AS lag, count(*) AS n, round(corr(x, y), 5) AS r FROM j GROUP BY 1, 2 HAVING count(*) >= 10) WHERE r IS NOT NULL AND NOT isnan(r)""")
 def t3_lagged_correlation(spark, sf):
     s = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("mo"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("x"), F.sum("o_totalprice").alias("y"))
     return T.lagged_correlation(s, "mo", "t", "x", "y", 2).select("mo", "lag", "n", r("r", 5))

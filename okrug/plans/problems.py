@@ -11,6 +11,7 @@ from okrug.operators.badrows import contract_lines
 from okrug.operators.nested import register_tables
 from okrug.operators.snapshots import snapshot_changes
 from okrug.operators.timestamps import normalise_timestamps
+from okrug.plans.problem_sql import ORACLE  # noqa: F401  (read by the entry module)
 from okrug.session import load, written
 
 

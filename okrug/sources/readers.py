@@ -10,10 +10,15 @@ from pyspark.sql import types as T
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, delimiter: str = ";", encoding: str = "UTF-8", recursive: bool = False) -> DataFrame:
-    """Delimited files with a header; all columns as texts unless a schema is given. A byte-order mark before the first name is dropped; recursion unions all files below a folder."""
+    """Delimited files with a header; all columns as texts unless a schema is given. A byte-order mark before the first name is dropped; recursion unions all files below a folder.
+
+    Encodings other than Unicode and Latin-1 are only read under a session setting, which is then switched on.
+    """
+    if encoding.upper() not in ("UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "US-ASCII", "ISO-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.option("sep", delimiter).option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", recursive)
     df = (reader.schema(schema) if schema is not None else reader).csv(paths)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def union_files(frames: list[DataFrame], columns: dict[str, str]) -> DataFrame:
@@ -28,8 +33,8 @@ def json_records(spark: SparkSession, paths: str | list[str], member: str, schem
 
 
 def first_of(*paths: str) -> Column:
-    """The first non-null of alternative members."""
-    return F.coalesce(*[F.col(p) for p in paths])
+    """The first non-null of alternative members, as text."""
+    return F.coalesce(*[F.col(p).cast("string") for p in paths])
 
 
 def xml_documents(spark: SparkSession, paths: str | list[str], row_tag: str, schema: T.StructType) -> DataFrame:
