@@ -84,13 +84,48 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return total.join(inside).join(degrees).select((F.try_divide(F.col("inside"), F.col("m2")) - resolution * F.try_divide(F.col("dd"), F.col("m2") * F.col("m2"))).alias("q"))
 
 
-def isolation(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(avi, avu) over clusters: the mean share of a cluster's edge weight that stays inside, and the mean ratio of weight outside to inside plus outside, per pair (the literature form, lower is better)."""
+def isolation(edges: DataFrame, labels: DataFrame, compat: bool = False) -> DataFrame:
+    """(avi, avu) over clusters; `edges` has both directions, `labels` is (node, label).
+
+    avi: mean share of a cluster's weight that stays inside. avu: sum over pairs of different clusters of the weight between them over
+    all weight that leaves either, divided by the number of clusters; lower is better, and pairs without such weight are 0.
+    With `compat`, avu is the mean of density inside over density inside plus density outside.
+    """
     at = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l_{s}"))
-    block = edges.join(at("src"), "src").join(at("dst"), "dst").groupBy("l_src", "l_dst").agg(F.sum("w").alias("w"))
-    per = block.groupBy("l_src").agg(F.sum("w").alias("all"), F.coalesce(F.sum(F.when(F.col("l_src") == F.col("l_dst"), F.col("w"))), F.lit(0.0)).alias("inside"))
+    block = edges.join(at("src"), "src").join(at("dst"), "dst").groupBy(F.col("l_src").alias("a"), F.col("l_dst").alias("b")).agg(F.sum("w").alias("w"))
+    inside = F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0))
+    seen = block.groupBy("a").agg(F.sum("w").alias("all"), inside.alias("inside"))
+    per = labels.groupBy(F.col("label").alias("a")).agg(F.count(F.lit(1)).alias("n")).join(seen, "a", "left").fillna(0.0).withColumn("out", F.col("all") - F.col("inside"))
     share = F.coalesce(F.try_divide(F.col("inside"), F.col("all")), F.lit(0.0))
-    return per.agg(F.avg(share).alias("avi"), F.avg(1 - share).alias("avu"))
+    if compat:
+        total = labels.agg(F.count(F.lit(1)).alias("total"))
+        d_in = F.coalesce(F.try_divide(F.col("inside"), F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))), F.lit(0.0))
+        d_out = F.coalesce(F.try_divide(F.col("out"), F.nullif(F.col("n") * (F.col("total") - F.col("n")), F.lit(0))), F.lit(0.0))
+        return per.join(F.broadcast(total)).agg(F.avg(share).alias("avi"), F.avg(F.coalesce(F.try_divide(d_in, d_in + d_out), F.lit(0.0))).alias("avu"))
+    ends = lambda s: per.select(F.col("a").alias(s), F.col("out").alias(f"out_{s}"))
+    pair = block.where("a <> b").join(ends("a"), "a").join(ends("b"), "b")
+    between = pair.agg(F.coalesce(F.sum(F.coalesce(F.try_divide(F.col("w"), F.col("out_a") + F.col("out_b") - F.col("w")), F.lit(0.0))), F.lit(0.0)).alias("u"))
+    return per.agg(F.avg(share).alias("avi"), F.count(F.lit(1)).alias("k")).join(between).select("avi", F.try_divide(F.col("u"), F.col("k")).alias("avu"))
+
+
+def s_dbw(points: DataFrame, label: str, vector: str) -> DataFrame:
+    """(s_dbw): scatter within clusters over that of all points, plus density between pairs of clusters over that at their centres.
+
+    Clusters are few: centres go out by broadcast, each point meets the pairs of its own cluster.
+    """
+    p = points.select(F.col(label).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    flat = p.select("g", F.posexplode("v").alias("at", "x"))
+    norm = lambda df, keys: df.groupBy(*keys, "at").agg(F.var_pop("x").alias("s")).groupBy(*keys).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("sig"))
+    sig, whole = norm(flat, ["g"]), norm(flat, []).select(F.col("sig").alias("all"))
+    parts = sig.agg(F.avg("sig").alias("mean"), (F.sqrt(F.sum("sig")) / F.count(F.lit(1))).alias("stdev"), F.count(F.lit(1)).alias("k"))
+    c = centroids(p, "g", "v").select("g", "c")
+    pair = c.select(F.col("g").alias("i"), F.col("c").alias("ci")).join(F.broadcast(c.select(F.col("g").alias("j"), F.col("c").alias("cj"))), F.col("i") < F.col("j"))
+    pair = pair.join(F.broadcast(parts.select("stdev"))).withColumn("u", F.transform(F.zip_with("ci", "cj", lambda x, y: x + y), lambda x: x / 2))
+    met = p.join(F.broadcast(pair.withColumn("g", F.explode(F.array("i", "j")))), "g")
+    near = lambda x: F.count_if(squared("v", x) <= F.col("stdev") * F.col("stdev"))
+    d = met.groupBy("i", "j").agg(near("u").alias("u"), near("ci").alias("a"), near("cj").alias("b"))
+    between = d.agg(F.avg(F.coalesce(F.try_divide(F.col("u"), F.nullif(F.greatest("a", "b"), F.lit(0))), F.lit(0.0))).alias("dens"))
+    return parts.join(whole).join(between).select((F.col("mean") / (F.col("all") + 1e-12) + F.col("dens")).alias("s_dbw"))
 
 
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:

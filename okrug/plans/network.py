@@ -183,9 +183,10 @@ def v5_modularity(spark, sf):
     return V.modularity(_net(spark, sf), _labels(spark, sf)).select(r("q", 6))
 
 
-@query(f"WITH {FLOW}, {KNN}, {LAB}, e AS (SELECT a.label AS ls, b.label AS ld, w FROM net JOIN lab a ON a.node = src JOIN lab b ON b.node = dst), p AS (SELECT ls, coalesce(sum(w) FILTER (ls = ld), 0) / sum(w) AS s FROM e GROUP BY 1) SELECT round(avg(s), 6) AS avi, round(avg(1 - s), 6) AS avu FROM p")
+@query(f"""WITH {FLOW}, {KNN}, {LAB}, c AS (SELECT label, count(*) AS n FROM lab GROUP BY 1), e AS (SELECT a.label AS ls, b.label AS ld, w FROM net JOIN lab a ON a.node = src JOIN lab b ON b.node = dst), p AS (SELECT ls, coalesce(sum(w) FILTER (ls = ld), 0) AS i, coalesce(sum(w) FILTER (ls <> ld), 0) AS o FROM e GROUP BY 1), d AS (SELECT i / (i + o) AS s, i / (n * (n - 1)) AS di, o / (n * (25 - n)) AS ds FROM p JOIN c ON label = ls)
+ SELECT round(avg(s), 6) AS avi, round(avg(di / (di + ds)), 6) AS avu FROM d""")
 def v6_isolation(spark, sf):
-    return V.isolation(_net(spark, sf), _labels(spark, sf)).select(r("avi", 6), r("avu", 6))
+    return V.isolation(_net(spark, sf), _labels(spark, sf), compat=True).select(r("avi", 6), r("avu", 6))
 
 
 @query("""WITH p AS (SELECT o_orderstatus AS a, o_orderpriority AS b FROM orders), x AS (SELECT sum(n * (n - 1) / 2.0) AS x, sum(n) AS n FROM (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2)), y AS (SELECT sum(n * (n - 1) / 2.0) AS r FROM (SELECT a, count(*) AS n FROM p GROUP BY 1)), z AS (SELECT sum(n * (n - 1) / 2.0) AS c FROM (SELECT b, count(*) AS n FROM p GROUP BY 1)) SELECT round((x - r * c / (n * (n - 1) / 2.0)) / ((r + c) / 2 - r * c / (n * (n - 1) / 2.0)), 8) AS ari FROM x, y, z""")
