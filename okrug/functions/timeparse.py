@@ -51,7 +51,7 @@ def with_epoch(df: DataFrame, raw: str, zone: str, target: str = "utc_epoch") ->
     c = F.col
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
     zones = ",".join(f"'{x}'" for x in known_zones(df.sparkSession))
-    keep = df.columns
+    keep = [x for x in df.columns if x != target]
     out = df.withColumn("__s", F.trim(F.regexp_replace(c(raw), SPACES, " ")))
     # digits only: epochs, or the basic layout, which is rewritten to the extended one
     out = out.withColumn("__ticks", F.when(c("__s").rlike(r"^\d{10}$"), c("__s").cast("bigint")).when(c("__s").rlike(r"^\d{13}$"), F.floor(c("__s").cast("bigint") / 1000).cast("bigint")))

@@ -63,11 +63,11 @@ def classify_lines(lines: DataFrame, line: str, columns: list[str], checks: list
     number of fields than columns; else one reason per failed cast, named as the column. A line without reasons is good.
 
     A null line has no fields and is `column_count`, as is an empty one. Repeated lines are judged each. Other columns pass
-    through. Works on one line at a time: no shuffle, no limit on its length.
+    through, but for those named as the four that are added. Works on one line at a time: no shuffle, no limit on its length.
     """
     schema = T.StructType([*[T.StructField(x, T.StringType()) for x in columns], T.StructField("__corrupt", T.StringType())])
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt", "maxCharsPerColumn": "-1", "nullValue": "\x00", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    keep = [F.col(x) for x in lines.columns]
+    keep = [F.col(x) for x in lines.columns if x not in ("fields", "typed", "reasons", "corrupt")]
     # the texts between quotes: those at even places stand outside of quoted fields
     out = lines.withColumn("__parts", F.split(F.coalesce(F.col(line), F.lit("")), '"', -1))
     size = F.size("__parts")

@@ -13,10 +13,12 @@ def join_dictionary(rows: DataFrame, dictionary: DataFrame, keys: list[str], cou
 
     `dictionary` has one row per distinct `keys` (never null) with its number of rows in `count`; it should be a written
     table. Keys that hold one row in 1024 or more, at most 1024 keys whatever the data, are joined by broadcast; the rest,
-    none of which is hot, by a shuffle. Rows with a null key come out unjoined.
+    none of which is hot, by a shuffle. Rows with a null key come out unjoined;
+    columns of `rows` named as ones of the dictionary are replaced.
     """
     total = dictionary.agg(F.sum(count)).first()[0] or 0
     held = [x for x in dictionary.columns if x not in (*keys, count)]
+    rows = rows.drop(*held, "__held")
     packed = dictionary.select(*keys, count, F.struct(*held).alias("__held"))
     hot = packed.where(F.col(count) * HOT_SHARE >= max(total, 1)).drop(count)
     whole = F.lit(True)
