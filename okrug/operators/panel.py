@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from okrug.session import written
+
 
 def period(date: Column | str, kind: str) -> Column:
     """Year (2024), quarter (2024Q1) or month (2024-01) of a date as text."""
@@ -76,6 +78,37 @@ def average_rank(df: DataFrame, by: list[str], value: str, target: str) -> DataF
     return df.withColumn(target, F.when(known, rank + (ties - 1) / 2))
 
 
+def smaller_values(df: DataFrame, value: str, cuts: int = 256) -> DataFrame:
+    """(value, n, below, total): each distinct non-null value, its rows, the rows with smaller values, and all rows.
+
+    A rank over a whole table without a window over a whole table: distinct values are dealt to ranges by approximate quantiles (equal
+    values share a range, so the result is exact), ranges are counted, and running sums stay within a range.
+    """
+    values = written(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), "values")
+    edges = sorted(set(values.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / cuts for k in range(1, cuts)], 0.001)))
+    dealt = values.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(value).cast("double"))) if edges else F.lit(0))
+    sums = {x["__range"]: x["n"] for x in dealt.groupBy("__range").agg(F.sum("n").alias("n")).collect()}  # at most `cuts` rows
+    before, total = [], 0
+    for k in range(len(edges) + 1):
+        before.append(total)
+        total += sums.get(k, 0)
+    w = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(w), F.lit(0)) + F.get(F.array(*[F.lit(x).cast("bigint") for x in before]), F.col("__range"))
+    return dealt.select(value, "n", below.alias("below"), F.lit(total).cast("bigint").alias("total"))
+
+
+def nearest_value(points: DataFrame, anchors: DataFrame, by: str, value: str, key: str, anchor: str) -> DataFrame:
+    """(key, anchor, dist): for each point the anchor of the same `by` whose value is nearest, ties to the lesser anchor; one sorted pass, no pairs."""
+    p = points.select(by, F.col(value).alias("v"), F.col(key).alias("k"), F.lit(None).cast(dict(anchors.dtypes)[anchor]).alias("a"))
+    a = anchors.select(by, F.col(value).alias("v"), F.lit(None).cast(dict(points.dtypes)[key]).alias("k"), F.col(anchor).alias("a"))
+    w = Window.partitionBy(by).orderBy("v")
+    down = F.max(F.when(F.col("a").isNotNull(), F.struct("v", (-F.col("a")).alias("a")))).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    up = F.min(F.when(F.col("a").isNotNull(), F.struct("v", "a"))).over(w.rangeBetween(0, Window.unboundedFollowing))
+    both = p.unionByName(a).withColumns({"__down": down, "__up": up}).where("k IS NOT NULL")
+    choice = F.array_min(F.array_compact(F.array(F.when(F.col("__down").isNotNull(), F.struct((F.col("v") - F.col("__down.v")).alias("d"), (-F.col("__down.a")).alias("a"))), F.when(F.col("__up").isNotNull(), F.struct((F.col("__up.v") - F.col("v")).alias("d"), F.col("__up.a").alias("a"))))))
+    return both.withColumn("__m", choice).where("__m IS NOT NULL").select(F.col("k").alias(key), F.col("__m.a").alias(anchor), F.col("__m.d").alias("dist"))
+
+
 def false_discovery(df: DataFrame, by: list[str], p: str, target: str) -> DataFrame:
     """Benjamini-Hochberg q: the least p n / rank from this rank on; ties share it, null p stays null."""
     known = df.where(F.col(p).isNotNull())

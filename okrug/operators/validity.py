@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,44 @@ def centroids(points: DataFrame, label: str, vector: str) -> DataFrame:
     return flat.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s.m).alias("c"), F.max("n").alias("n"))
 
 
+def block_pairs(points: DataFrame, blocks: int) -> DataFrame:
+    """`points` (with a column id) dealt to blocks; each pair (b, other) of blocks gets the rows of b as `left` and those of other as not `left`."""
+    p = points.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    # both roles of a row as one column of structs: a co-group of a table with itself would confuse its columns
+    n = F.lit(blocks - 1)
+    role = lambda mine, other, left: F.struct(mine.cast("int").alias("b"), other.cast("int").alias("other"), F.lit(left).alias("left"))
+    roles = F.transform(F.sequence(F.lit(0), n), lambda k: role(F.col("__b"), k, True)), F.transform(F.sequence(F.lit(0), n), lambda k: role(k, F.col("__b"), False))
+    return p.withColumn("x", F.explode(F.concat(*roles))).select("x.*", *points.columns)
+
+
+def nearest_rows(points: DataFrame, key: str, group: str, vector: str, k: int, rows_a_block: int = 2000) -> DataFrame:
+    """(key, analog, dist, rank): the k nearest other rows of the same group, exactly; ties go to the lesser key.
+
+    Rows meet in blocks of bounded size, and each block pair keeps only k candidates a row, so that no pairs leave a task.
+    """
+    blocks = max(8, -(-points.count() // rows_a_block))
+    kind = dict(points.dtypes)[key]
+    p = points.select(F.col(key).alias("id"), F.col(group).alias("lab"), F.col(vector).cast("array<double>").alias("v"))
+
+    def near(batch: pd.DataFrame) -> pd.DataFrame:
+        left, right = batch[batch["left"]], batch[~batch["left"]].sort_values("id")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": [], "analog": [], "dist": []})
+        x, y = np.stack(left["v"]), np.stack(right["v"])
+        other = (left["lab"].to_numpy()[:, None] == right["lab"].to_numpy()[None]) & (left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None])
+        out = []
+        for i, (own, v) in enumerate(zip(left["id"], x)):
+            at = np.flatnonzero(other[i])
+            d = np.sqrt(((y[at] - v) ** 2).sum(1))
+            for j in np.argsort(d, kind="stable")[:k]:
+                out.append((own, right["id"].iloc[at[j]], float(d[j])))
+        return pd.DataFrame(out, columns=["id", "analog", "dist"])
+
+    some = block_pairs(p, blocks).groupBy("b", "other").applyInPandas(near, f"id {kind}, analog {kind}, dist double")
+    at = F.row_number().over(Window.partitionBy("id").orderBy("dist", "analog"))
+    return some.withColumn("rank", at).where(F.col("rank") <= k).select(F.col("id").alias(key), "analog", "dist", "rank")
+
+
 def silhouettes(points: DataFrame, key: str, label: str, vector: str, rows_a_block: int = 2000) -> DataFrame:
     """(key, label, s): exact Euclidean silhouettes, 0 for clusters of one.
 
@@ -29,12 +67,8 @@ def silhouettes(points: DataFrame, key: str, label: str, vector: str, rows_a_blo
     """
     blocks = max(8, -(-points.count() // rows_a_block))
     kind, lab = dict(points.dtypes)[key], dict(points.dtypes)[label]
-    p = points.select(F.col(key).alias("id"), F.col(label).alias("lab"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    # both roles of a row as one column of structs: a co-group of a table with itself would confuse its columns
-    n = F.lit(blocks - 1)
-    role = lambda mine, other, left: F.struct(mine.cast("int").alias("b"), other.cast("int").alias("other"), F.lit(left).alias("left"))
-    roles = F.transform(F.sequence(F.lit(0), n), lambda k: role(F.col("b"), k, True)), F.transform(F.sequence(F.lit(0), n), lambda k: role(k, F.col("b"), False))
-    met = p.withColumn("x", F.explode(F.concat(*roles))).select("x.*", "id", "lab", "v")
+    p = points.select(F.col(key).alias("id"), F.col(label).alias("lab"), F.col(vector).cast("array<double>").alias("v"))
+    met = block_pairs(p, blocks)
 
     def sums(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["left"]], group[~group["left"]]

@@ -272,9 +272,7 @@ def m1_random_forest(spark, sf):
 @query(f"""WITH {EMB}, d AS (SELECT a.vec_id, b.vec_id AS analog, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, analog) AS INT) AS rank FROM d) SELECT vec_id, analog, round(dist, 4) AS dist, rank FROM k WHERE rank <= 3""")
 def m4_analogs(spark, sf):
     p = _points(spark, sf)
-    other = p.select(F.col("vec_id").alias("analog"), "label", F.col("v").alias("v2"))
-    d = p.join(other, "label").where("vec_id <> analog").select("vec_id", "analog", F.sqrt(V.squared("v", "v2")).alias("dist"))
-    return P.top_k(d, ["vec_id"], [F.col("dist"), F.col("analog")], 3).select("vec_id", "analog", r("dist"), "rank")
+    return V.nearest_rows(p, "vec_id", "label", "v", 3).select("vec_id", "analog", r("dist"), "rank")
 
 
 @query("""WITH m AS (SELECT c_mktsegment AS type, median(c_acctbal) AS med FROM customer GROUP BY 1), x AS (SELECT c_custkey AS id, c_mktsegment AS type, c_acctbal - med AS off FROM customer JOIN m ON type = c_mktsegment WHERE abs(c_acctbal - med) > 5000), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY type ORDER BY abs(off) DESC, id) AS INT) AS rank FROM x) SELECT id, type, round(off, 3) AS off, rank FROM k WHERE rank <= 5""")

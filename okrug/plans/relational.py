@@ -234,12 +234,8 @@ def w14_top_k(spark, sf):
 
 @query("SELECT s_suppkey AS id, round(percent_rank() OVER (ORDER BY s_acctbal), 6) AS colour FROM supplier")
 def w15_percent_rank(spark, sf):
-    # a rank over all rows: counts of equal values come first, so that the unpartitioned window sees one row a value
     s = load(spark, sf, "supplier")
-    values = s.groupBy("s_acctbal").agg(F.count(F.lit(1)).alias("n"))
-    n = s.agg(F.count(F.lit(1)).alias("total"))
-    below = values.withColumn("below", F.sum("n").over(Window.orderBy("s_acctbal").rowsBetween(Window.unboundedPreceding, -1)))
-    return s.join(below, "s_acctbal").join(F.broadcast(n)).select(F.col("s_suppkey").alias("id"), F.round(F.coalesce("below", F.lit(0)) / F.greatest(F.col("total") - 1, F.lit(1)), 6).alias("colour"))
+    return s.join(P.smaller_values(s, "s_acctbal"), "s_acctbal").select(F.col("s_suppkey").alias("id"), F.round(F.col("below") / F.greatest(F.col("total") - 1, F.lit(1)), 6).alias("colour"))
 
 
 @query("SELECT CAST(year(o_orderdate) AS INT) AS year, " + ", ".join(f"round(coalesce(sum(o_totalprice) FILTER (month(o_orderdate) = {m}), 0), 2) AS m{m}" for m in range(1, 13)) + " FROM orders GROUP BY 1")
@@ -267,9 +263,7 @@ def f4_flags(spark, sf):
 @query("""WITH x AS (SELECT c_custkey AS id, c_acctbal AS v, percent_rank() OVER (ORDER BY c_acctbal) * 100 AS p FROM customer) SELECT id FROM x WHERE p >= 25 AND p <= 75""")
 def f8_percentile_conditions(spark, sf):
     c = load(spark, sf, "customer")
-    values = c.groupBy("c_acctbal").agg(F.count(F.lit(1)).alias("n")).withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("c_acctbal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = c.agg((F.count(F.lit(1)) - 1).alias("m"))
-    p = c.join(values, "c_acctbal").join(F.broadcast(n)).withColumn("p", F.col("below") / F.col("m") * 100)
+    p = c.join(P.smaller_values(c, "c_acctbal"), "c_acctbal").withColumn("p", F.col("below") / (F.col("total") - 1) * 100)
     conditions = [F.col("p") >= 25, F.col("p") <= 75]  # a missing value passes none
     for c_ in conditions:
         p = p.where(c_)
@@ -331,8 +325,7 @@ def e1_prefix_inference(spark, sf):
 def j16_nearest(spark, sf):
     x = load(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("mo"), F.col("c_acctbal").alias("v"))
     s = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("mo"), F.col("s_suppkey").alias("anchor"), F.col("s_acctbal").alias("a"))
-    near = x.join(s, "mo").groupBy("id").agg(F.min(F.struct(F.abs(F.col("v") - F.col("a")).alias("dist"), "anchor")).alias("m"))
-    return near.select("id", "m.anchor", F.round("m.dist", 2).alias("dist"))
+    return P.nearest_value(x, s.withColumnRenamed("a", "v"), "mo", "v", "id", "anchor").select("id", "anchor", r("dist", 2))
 
 
 @query("SELECT c_nationkey AS mo FROM customer UNION SELECT s_nationkey FROM supplier")
