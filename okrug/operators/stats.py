@@ -71,8 +71,8 @@ def kruskal_wallis(long: DataFrame, metric: str, group: str, value: str) -> Data
 
 def nearest_centroid(points: DataFrame, centres: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, label): the label of the nearest centre; `centres` is (label, c), one row a class."""
-    from okrug.operators.validity import squared
+    from okrug.operators.validity import few, squared
 
-    d = points.join(F.broadcast(centres.select(F.col(label).alias("__label"), "c")))
+    d = points.join(few(centres.select(F.col(label).alias("__label"), "c")))
     near = d.groupBy(key).agg(F.min(F.struct(squared(F.col(vector).cast("array<double>"), "c").alias("d"), "__label")).alias("m"))
     return near.select(key, F.col("m.__label").alias(label))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from okrug.session import written
+
 
 def squared(a: str | Column, b: str | Column) -> Column:
     """Squared Euclidean distance of two arrays."""
@@ -21,6 +23,18 @@ def centroids(points: DataFrame, label: str, vector: str) -> DataFrame:
     return flat.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s.m).alias("c"), F.max("n").alias("n"))
 
 
+#: Clusters at most; their centres may then be broadcast.
+MOST_CLUSTERS = 10_000
+
+
+def few(centres: DataFrame) -> DataFrame:
+    """The centres, written once and marked for broadcast; raises if they are many."""
+    c = written(centres, "centres")
+    if c.count() > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    return F.broadcast(c)
+
+
 def block_pairs(points: DataFrame, blocks: int) -> DataFrame:
     """`points` (with a column id) dealt to blocks; each pair (b, other) of blocks gets the rows of b as `left` and those of other as not `left`."""
     p = points.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -91,7 +105,7 @@ def silhouettes(points: DataFrame, key: str, label: str, vector: str, rows_a_blo
 
 def calinski_harabasz(points: DataFrame, label: str, vector: str) -> DataFrame:
     """(ch): between / (k - 1) over within / (n - k); null for one cluster."""
-    c = centroids(points, label, vector)
+    c = few(centroids(points, label, vector))
     whole = centroids(points.withColumn("__all", F.lit(0)), "__all", vector).select(F.col("c").alias("m"))
     between = c.join(F.broadcast(whole)).agg(F.sum(F.col("n") * squared("c", "m")).alias("b"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     within = points.join(F.broadcast(c.select(label, "c")), label).agg(F.sum(squared(F.col(vector).cast("array<double>"), "c")).alias("w"))
@@ -100,7 +114,7 @@ def calinski_harabasz(points: DataFrame, label: str, vector: str) -> DataFrame:
 
 def davies_bouldin(points: DataFrame, label: str, vector: str) -> DataFrame:
     """(db): mean over clusters of the worst (scatter + scatter) / distance of centroids."""
-    c = centroids(points, label, vector)
+    c = few(centroids(points, label, vector))
     s = points.join(F.broadcast(c.select(label, "c")), label).groupBy(label).agg(F.avg(F.sqrt(squared(F.col(vector).cast("array<double>"), "c"))).alias("s"))
     g = c.join(s, label)
     i, j = g.select(F.col(label).alias("i"), F.col("c").alias("ci"), F.col("s").alias("si")), g.select(F.col(label).alias("j"), F.col("c").alias("cj"), F.col("s").alias("sj"))
@@ -152,7 +166,7 @@ def s_dbw(points: DataFrame, label: str, vector: str) -> DataFrame:
     norm = lambda df, keys: df.groupBy(*keys, "at").agg(F.var_pop("x").alias("s")).groupBy(*keys).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("sig"))
     sig, whole = norm(flat, ["g"]), norm(flat, []).select(F.col("sig").alias("all"))
     parts = sig.agg(F.avg("sig").alias("mean"), (F.sqrt(F.sum("sig")) / F.count(F.lit(1))).alias("stdev"), F.count(F.lit(1)).alias("k"))
-    c = centroids(p, "g", "v").select("g", "c")
+    c = few(centroids(p, "g", "v").select("g", "c"))
     pair = c.select(F.col("g").alias("i"), F.col("c").alias("ci")).join(F.broadcast(c.select(F.col("g").alias("j"), F.col("c").alias("cj"))), F.col("i") < F.col("j"))
     pair = pair.join(F.broadcast(parts.select("stdev"))).withColumn("u", F.transform(F.zip_with("ci", "cj", lambda x, y: x + y), lambda x: x / 2))
     met = p.join(F.broadcast(pair.withColumn("g", F.explode(F.array("i", "j")))), "g")
