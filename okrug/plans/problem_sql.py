@@ -67,4 +67,39 @@ SELECT line_id, reason FROM (
  UNION ALL SELECT line_id, 'amount' FROM w WHERE NOT quoting AND NOT count_bad AND amount <> '' AND NOT regexp_full_match(a, '([0-9]+|[0-9]{{1,3}}( [0-9]{{3}})+)([.,][0-9]{{1,2}})?')
  UNION ALL SELECT line_id, 'sign_date' FROM w WHERE NOT quoting AND NOT count_bad AND coalesce(CASE WHEN regexp_full_match(t, '\\d{{4}}-\\d\\d-\\d\\d') THEN TRY_CAST(t AS DATE) WHEN regexp_full_match(t, '\\d\\d\\.\\d\\d\\.\\d{{4}}') THEN TRY_CAST(substr(t, 7, 4) || '-' || substr(t, 4, 2) || '-' || substr(t, 1, 2) AS DATE) END IS NULL, true))"""
 
-ORACLE = {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6}
+
+
+def _items(x: str) -> str:
+    """A JSON member as a list: itself if it is one, else its only element; nothing for null."""
+    return f"(CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN CAST([] AS JSON[]) WHEN json_type({x}) = 'ARRAY' THEN CAST({x} AS JSON[]) ELSE [CAST({x} AS JSON)] END)"
+
+
+def _value(x: str, *members: str) -> str:
+    inner = ", ".join(f"""{x} ->> '$."{m}"'""" for m in members)
+    return f"CASE json_type({x}) WHEN 'OBJECT' THEN coalesce({inner}) WHEN 'NULL' THEN NULL ELSE {x} ->> '$' END"
+
+
+def _both(x: str, xml: str, plain: str) -> str:
+    return f"""coalesce({x} -> '$.{'.'.join(f'"{m}"' for m in xml.split('.'))}', {x} -> '$.{plain}')"""
+
+
+def _unnested(name: str, source: str, keys: str, expression: str) -> str:
+    return f"{name} AS (SELECT {keys}, unnest(l) AS x, generate_subscripts(l, 1) AS no FROM (SELECT {keys}, {_items('m')} AS l FROM (SELECT {keys}, {expression} AS m FROM {source})))"
+
+
+P1 = f"""WITH j AS (SELECT raw_id, TRY_CAST(CASE WHEN starts_with(payload, chr(65279)) THEN substr(payload, 2) ELSE payload END AS JSON) AS j FROM registry_docs),
+{_unnested("docs", "j", "raw_id", _both("j", "Файл.Документ", "records"))},
+d AS (SELECT raw_id, no AS doc_no, coalesce(o -> '$.normalized', o -> '$."нормализовано"', o) AS o FROM (SELECT raw_id, no, CASE WHEN json_type(x) = 'VARCHAR' THEN TRY_CAST(x ->> '$' AS JSON) ELSE x END AS o FROM docs)),
+{_unnested("okved", "d", "raw_id, doc_no", _both("o", "СвОКВЭД.СвОКВЭДДоп", "okved_extra"))},
+{_unnested("product", "d", "raw_id, doc_no", _both("o", "СвПрод", "products"))},
+{_unnested("lic", "d", "raw_id, doc_no", _both("o", "СвЛиценз", "licenses"))},
+{_unnested("act", "(SELECT raw_id, doc_no, no AS parent_no, x AS o FROM lic)", "raw_id, doc_no, parent_no", _both("o", "НаимЛицВД", "activities"))},
+found AS (
+ {" UNION ALL ".join(f"SELECT raw_id, doc_no, '{c}' AS child, 0 AS parent_no, 1 AS child_no, o ->> '$.{p}' AS value FROM d" for c, p in (("inn", '"ОргВклМСП"."ИННЮЛ"'), ("inn", '"ИПВклМСП"."ИННФЛ"'), ("inn", "inn"), ("district", '"СведМН"."Район"."Наим"'), ("district", "district"), ("okved_main", '"СвОКВЭД"."СвОКВЭДОсн"."КодОКВЭД"'), ("okved_main", "okved_main")))}
+ UNION ALL SELECT raw_id, doc_no, 'okved_extra', 0, no, {_value("x", "КодОКВЭД", "code")} FROM okved
+ UNION ALL SELECT raw_id, doc_no, 'product', 0, no, {_value("x", "КодПрод", "code")} FROM product
+ UNION ALL SELECT raw_id, doc_no, 'license', 0, no, coalesce(x ->> '$."НомЛиценз"', x ->> '$.number') FROM lic
+ UNION ALL SELECT raw_id, doc_no, 'license_activity', parent_no, no, {_value("x", "Текст", "name")} FROM act)
+SELECT raw_id, CAST(doc_no AS INT) AS doc_no, child, CAST(parent_no AS INT) AS parent_no, CAST(child_no AS INT) AS child_no, trim(value) AS value FROM found WHERE trim(value) <> ''"""
+
+ORACLE = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6}
