@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from okrug.session import written
+from okrug.session import HOT_SHARE, written
 
 #: Days between the two sources' dates; edits between two spellings of a number; labelled rows at most, and the counts by which a precision is smoothed.
 DAYS, EDITS, LABELLED, SMOOTHING = 4, 3, 50_000, (1.0, 1.0)
@@ -23,7 +23,7 @@ SUBJECT_FILLERS = "договор контракт проект для по в 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pass: exact equality of `keys` (d within DAYS), unique in the register, and what must agree in part besides."""
+    """A pass: exact equality of `keys` (d within DAYS), and what must agree in part besides, of one register record only."""
 
     name: str
     keys: tuple[str, ...]
@@ -87,25 +87,43 @@ def _verified(kind: str) -> Column:
     return F.lit(True)
 
 
-def candidates(rule: Rule, observations: DataFrame, register: DataFrame) -> DataFrame:
-    """(id, match): the register's only record with the rule's keys, if it agrees; the nearest day first, and none on a tie.
+def _key_of(rule: Rule, day: Column) -> Column:
+    """The rule's keys as one, null where one of them is missing."""
+    return F.when(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in rule.keys)), F.xxhash64(*[day if k == "d" else F.col(k) for k in rule.keys]))
 
-    The register is reduced to one row a key before it meets the observations, so that a hot key costs nothing: no pairs within groups.
+
+def hot_keys(rules: list[Rule], register: DataFrame) -> dict[str, DataFrame]:
+    """(key, salts) by the name of each rule that has keys with more than one register row in 1024: the number of such shares in them.
+
+    There are at most 1024 such keys a rule, so that they can be broadcast.
+    """
+    share = max(register.count() / HOT_SHARE, 1.0)
+    each = register.select(F.explode(F.array(*[F.struct(F.lit(rule.name).alias("rule"), _key_of(rule, F.col("d")).alias("key")) for rule in rules])).alias("x")).select("x.*")
+    counts = each.where("key IS NOT NULL").groupBy("rule", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > share)
+    hot = written(counts.select("rule", "key", F.ceil(F.col("rows") / share).cast("int").alias("salts")), "hot-keys")
+    return {r["rule"]: hot.where(F.col("rule") == r["rule"]).select("key", "salts") for r in hot.select("rule").distinct().collect()}
+
+
+def candidates(rule: Rule, observations: DataFrame, register: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(id, match): the only register record with the rule's keys that agrees, the nearest day first; none on a tie of records that agree.
+
+    An observation meets every register row of its key, and only then must one record be left. A key in `hot` (key, salts) is dealt
+    over its salts, so that no task has to hold more than about a 1024th of the register for one key. Copies of a record count once.
     """
-    key = lambda day: F.xxhash64(*[day if k == "d" else F.col(k) for k in rule.keys])
-    known = lambda df: df.where(" AND ".join(f"{k} IS NOT NULL" for k in rule.keys))
-    single = known(register).groupBy(key(F.col("d")).alias("key")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("cbits").alias("cbits2"), F.max("sbits").alias("sbits2"), F.max("n").alias("n2")).where("lo = hi")
-    asked = known(observations)
-    if "d" in rule.keys:
-        asked = asked.withColumn("off", F.explode(F.array(*[F.lit(x) for x in range(-DAYS, DAYS + 1)])))
-        asked = asked.withColumn("key", key(F.col("d") + F.col("off")))
-    else:
-        asked = asked.withColumn("off", F.lit(0)).withColumn("key", key(F.col("d")))
-    met = asked.join(single, "key").where(_verified(rule.verify))
+    rows = register.select(_key_of(rule, F.col("d")).alias("key"), F.col("id").alias("id2"), F.col("cbits").alias("cbits2"), F.col("sbits").alias("sbits2"), F.col("n").alias("n2")).where("key IS NOT NULL")
+    days = range(-DAYS, DAYS + 1) if "d" in rule.keys else [0]
+    asked = observations.withColumn("off", F.explode(F.array(*[F.lit(x) for x in days])))
+    asked = asked.withColumn("key", _key_of(rule, F.col("d") + F.col("off"))).where("key IS NOT NULL")
+    on = ["key"]
+    if hot is not None:
+        salts, on = F.coalesce("salts", F.lit(1)), ["key", "salt"]
+        rows = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("id2"), salts).cast("int")).drop("salts")
+        asked = asked.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    met = asked.join(rows, on).where(_verified(rule.verify))
     if "n" not in rule.keys:  # two numbers that differ by more than slips tell two records
         apart = F.levenshtein(F.col("n").cast("string"), F.col("n2").cast("string"), EDITS)
         met = met.where(F.col("n").isNull() | F.col("n2").isNull() | (apart >= 0))
-    near = met.groupBy("id").agg(F.min(F.struct(F.abs("off").alias("o"), F.col("lo").alias("m"))).alias("first"), F.max(F.struct((-F.abs("off")).alias("o"), F.col("lo").alias("m"))).alias("last"))
+    near = met.groupBy("id").agg(F.min(F.struct(F.abs("off").alias("o"), F.col("id2").alias("m"))).alias("first"), F.max(F.struct((-F.abs("off")).alias("o"), F.col("id2").alias("m"))).alias("last"))
     return near.where("first.m = last.m").select("id", F.col("first.m").alias("match"))
 
 
@@ -122,10 +140,12 @@ def match_cascade(observations: DataFrame, register: DataFrame, rules: list[Rule
     rules = RULES if rules is None else rules
     observations = observations.where(F.col("id").isNotNull())
     register = register.where(F.col("id").isNotNull())
-    label = candidates(Rule("label", ("a", "c", "s"), "none"), observations, register).withColumnRenamed("match", "truth")
+    labels = Rule("label", ("a", "c", "s"), "none")
+    hot = hot_keys([labels, *rules], register)
+    label = candidates(labels, observations, register, hot.get("label")).withColumnRenamed("match", "truth")
     left, found = observations, []
     for rule in rules:
-        own = written(candidates(rule, left, register).withColumn("rule", F.lit(rule.name)), f"matched-{rule.name}")
+        own = written(candidates(rule, left, register, hot.get(rule.name)).withColumn("rule", F.lit(rule.name)), f"matched-{rule.name}")
         found.append((rule, own))
         left = left.join(own, "id", "left_anti")
     # labels: what the number says where amount, customer and subject together say the same
@@ -142,7 +162,7 @@ def match_cascade(observations: DataFrame, register: DataFrame, rules: list[Rule
         elif rule.keys == ("n",):
             tried = judged
         else:
-            tried = candidates(rule, sample.drop("truth"), register).join(sample.select("id", "truth"), "id")
+            tried = candidates(rule, sample.drop("truth"), register, hot.get(rule.name)).join(sample.select("id", "truth"), "id")
         good, seen = (0, 0) if tried is None else tried.agg(F.count_if(F.col("match") == F.col("truth")), F.count(F.lit(1))).first()
         confidence = (good + SMOOTHING[0]) / (seen + sum(SMOOTHING))
         scored.append((rule.name, confidence))
