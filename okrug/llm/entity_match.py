@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from okrug.functions.registry import with_normal_inn
 from okrug.session import HOT_SHARE, written
 
 #: Days between the two sources' dates; edits between two spellings of a number; labelled rows at most, and the counts by which a precision is smoothed.
@@ -28,6 +29,8 @@ class Rule:
     name: str
     keys: tuple[str, ...]
     verify: str
+    #: whether a record of another supplier is ruled out
+    supplier: bool = False
 
 
 RULES = [
@@ -36,8 +39,12 @@ RULES = [
     Rule("amount_subject", ("a", "s"), "customer"),
     Rule("amount_date", ("a", "d"), "either"),
     Rule("customer_subject_date", ("c", "s", "d"), "none"),
-    Rule("customer_date", ("c", "d"), "subject"),
-    Rule("subject_date", ("s", "d"), "customer"),
+    Rule("amount_supplier", ("a", "u"), "either"),
+    Rule("customer_supplier_date", ("c", "u", "d"), "no other subject"),
+    Rule("subject_supplier_date", ("s", "u", "d"), "no other customer"),
+    Rule("supplier_inn_date", ("i", "d"), "either"),
+    Rule("customer_date", ("c", "d"), "subject", supplier=True),
+    Rule("subject_date", ("s", "d"), "customer", supplier=True),
 ]
 
 
@@ -56,16 +63,19 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(F.coalesce(words, F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
 
 
-def attributes(df: DataFrame, id_col: str, number: str, amount: Column, epoch: str, customer: str, subject: str) -> DataFrame:
-    """(id, n, a, d, c, s, cbits, sbits): number, amount, day, customer and subject as 64-bit keys, and sketches of the two texts' words.
+def attributes(df: DataFrame, id_col: str, number: str, amount: Column, epoch: str, customer: str, subject: str, supplier: str | None = None, supplier_inn: str | None = None) -> DataFrame:
+    """(id, n, a, d, c, s, u, i, cbits, sbits, ubits): number, amount, day, customer, subject and supplier as 64-bit keys, the supplier's INN, and sketches of the three texts' words.
 
     A number counts by its digits, without what follows the word for "of"; an amount by its value where it is positive; a
-    name or subject by its set of words, whatever their order, case, punctuation, legal form or look-alike letters. What is missing is null.
+    name or subject by its set of words, whatever their order, case, punctuation, legal form or look-alike letters; an INN if it is normal. What is missing is null.
     """
+    text = F.lit(None).cast("string")
+    df = df.withColumns({"__supplier": F.col(supplier) if supplier else text, "__inn": F.col(supplier_inn) if supplier_inn else text})
+    df = with_normal_inn(df, "__inn", "__normal")
     digits = F.regexp_replace(F.regexp_replace(F.col(number), r"(?iu)\s+от\s.*$", ""), "[^0-9]", "")
-    out = df.select(F.col(id_col).alias("id"), digits.alias("digits"), amount.cast("bigint").alias("a"), F.floor((F.col(epoch) + 5 * 3600) / 86400).cast("bigint").alias("d"), _words(F.col(customer), FORMS).alias("cw"), _words(F.col(subject), SUBJECT_FILLERS).alias("sw"))
+    out = df.select(F.col(id_col).alias("id"), digits.alias("digits"), amount.cast("bigint").alias("a"), F.floor((F.col(epoch) + 5 * 3600) / 86400).cast("bigint").alias("d"), _words(F.col(customer), FORMS).alias("cw"), _words(F.col(subject), SUBJECT_FILLERS).alias("sw"), _words(F.col("__supplier"), FORMS).alias("uw"), F.col("__normal").cast("bigint").alias("i"))
     number = F.when(F.length("digits").between(4, 18), F.col("digits").cast("bigint"))
-    return out.select("id", number.alias("n"), F.when(F.col("a") > 0, F.col("a")).alias("a"), "d", _key(F.col("cw")).alias("c"), _key(F.col("sw")).alias("s"), _sketch(F.col("cw")).alias("cbits"), _sketch(F.col("sw")).alias("sbits"))
+    return out.select("id", number.alias("n"), F.when(F.col("a") > 0, F.col("a")).alias("a"), "d", _key(F.col("cw")).alias("c"), _key(F.col("sw")).alias("s"), _key(F.col("uw")).alias("u"), "i", _sketch(F.col("cw")).alias("cbits"), _sketch(F.col("sw")).alias("sbits"), _sketch(F.col("uw")).alias("ubits"))
 
 
 def _common(bits: str) -> tuple[Column, Column]:
@@ -82,11 +92,21 @@ def _verified(kind: str) -> Column:
         return F.coalesce(subject >= 0.75, F.lit(False))
     if kind == "customer":
         return F.coalesce(customer >= 0.5, F.lit(False))
+    if kind == "no other subject":
+        return F.coalesce(subject >= 0.5, F.lit(True))
+    if kind == "no other customer":
+        return F.coalesce(customer >= 0.3, F.lit(True))
     if kind == "either":
         return F.coalesce((subject >= 0.75) | (customer >= 0.9) | (subject.isNull() & (customer >= 0.5)), F.lit(False))
     return F.lit(True)
 
 
+def _other_supplier() -> Column:
+    """0 where INN or name tell the same supplier, 2 where they tell another one, 1 where nothing is told."""
+    _, name = _common("ubits")
+    return F.when(F.col("i") == F.col("i2"), 0).when(F.col("i") != F.col("i2"), 2).when(name >= 0.5, 0).when(name < 0.5, 2).otherwise(1)
+
+
 def _key_of(rule: Rule, day: Column) -> Column:
     """The rule's keys as one, null where one of them is missing."""
     return F.when(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in rule.keys)), F.xxhash64(*[day if k == "d" else F.col(k) for k in rule.keys]))
@@ -105,12 +125,13 @@ def hot_keys(rules: list[Rule], register: DataFrame) -> dict[str, DataFrame]:
 
 
 def candidates(rule: Rule, observations: DataFrame, register: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """(id, match): the only register record with the rule's keys that agrees, the nearest day first; none on a tie of records that agree.
+    """(id, trial, match): the only register record with the rule's keys that agrees, that of the same supplier and then the nearest day first; none on a tie of records that agree.
 
     An observation meets every register row of its key, and only then must one record be left. A key in `hot` (key, salts) is dealt
-    over its salts, so that no task has to hold more than about a 1024th of the register for one key. Copies of a record count once.
+    over its salts, so that no task has to hold more than about a 1024th of the register for one key. Copies of a record count once. `trial` tells observations with
+    the same id apart, so that the labelled ones are judged in the join that the others need anyway.
     """
-    rows = register.select(_key_of(rule, F.col("d")).alias("key"), F.col("id").alias("id2"), F.col("cbits").alias("cbits2"), F.col("sbits").alias("sbits2"), F.col("n").alias("n2")).where("key IS NOT NULL")
+    rows = register.select(_key_of(rule, F.col("d")).alias("key"), F.col("id").alias("id2"), F.col("cbits").alias("cbits2"), F.col("sbits").alias("sbits2"), F.col("ubits").alias("ubits2"), F.col("i").alias("i2"), F.col("n").alias("n2")).where("key IS NOT NULL")
     days = range(-DAYS, DAYS + 1) if "d" in rule.keys else [0]
     asked = observations.withColumn("off", F.explode(F.array(*[F.lit(x) for x in days])))
     asked = asked.withColumn("key", _key_of(rule, F.col("d") + F.col("off"))).where("key IS NOT NULL")
@@ -123,8 +144,11 @@ def candidates(rule: Rule, observations: DataFrame, register: DataFrame, hot: Da
     if "n" not in rule.keys:  # two numbers that differ by more than slips tell two records
         apart = F.levenshtein(F.col("n").cast("string"), F.col("n2").cast("string"), EDITS)
         met = met.where(F.col("n").isNull() | F.col("n2").isNull() | (apart >= 0))
-    near = met.groupBy("id").agg(F.min(F.struct(F.abs("off").alias("o"), F.col("id2").alias("m"))).alias("first"), F.max(F.struct((-F.abs("off")).alias("o"), F.col("id2").alias("m"))).alias("last"))
-    return near.where("first.m = last.m").select("id", F.col("first.m").alias("match"))
+    far = met.withColumns({"far": _other_supplier(), "off": F.abs("off")})
+    if rule.supplier:
+        far = far.where("far < 2")
+    near = far.groupBy("id", "trial").agg(F.min(F.struct("far", "off", F.col("id2").alias("m"))).alias("first"), F.max(F.struct((-F.col("far")).alias("far"), (-F.col("off")).alias("off"), F.col("id2").alias("m"))).alias("last"))
+    return near.where("first.m = last.m").select("id", "trial", F.col("first.m").alias("match"))
 
 
 def match_cascade(observations: DataFrame, register: DataFrame, rules: list[Rule] | None = None, labelled: int = LABELLED) -> DataFrame:
@@ -138,34 +162,28 @@ def match_cascade(observations: DataFrame, register: DataFrame, rules: list[Rule
     need it; ids must be 64-bit integers, null ids don't count; ties leave a row to later rules; empty inputs give an empty result.
     """
     rules = RULES if rules is None else rules
-    observations = observations.where(F.col("id").isNotNull())
+    observations = observations.where(F.col("id").isNotNull()).withColumn("trial", F.lit(False))
     register = register.where(F.col("id").isNotNull())
     labels = Rule("label", ("a", "c", "s"), "none")
     hot = hot_keys([labels, *rules], register)
-    label = candidates(labels, observations, register, hot.get("label")).withColumnRenamed("match", "truth")
-    left, found = observations, []
+    by_number = bool(rules) and rules[0].keys == ("n",)
+    left, out, sample = observations, None, None
     for rule in rules:
-        own = written(candidates(rule, left, register, hot.get(rule.name)).withColumn("rule", F.lit(rule.name)), f"matched-{rule.name}")
-        found.append((rule, own))
-        left = left.join(own, "id", "left_anti")
-    # labels: what the number says where amount, customer and subject together say the same
-    by_number = found[0][1] if rules and rules[0].keys == ("n",) else None
-    scored = []
-    if by_number is not None:
-        judged = written(by_number.join(label, "id"), "labels")
-        sure = judged.where("match = truth").orderBy(F.xxhash64("id")).limit(labelled).select("id", "truth")
-        sample = written(observations.join(sure, "id").drop("n").withColumn("n", F.lit(None).cast("bigint")), "labelled-observations")
-    out = None
-    for rule, own in found:
-        if by_number is None:
-            tried = None
-        elif rule.keys == ("n",):
-            tried = judged
-        else:
-            tried = candidates(rule, sample.drop("truth"), register, hot.get(rule.name)).join(sample.select("id", "truth"), "id")
+        asked = left if sample is None else left.unionByName(sample.drop("truth"))
+        own = written(candidates(rule, asked, register, hot.get(rule.name)), f"matched-{rule.name}")
+        found = own.where("NOT trial").drop("trial")
+        left = left.join(found, "id", "left_anti")
+        tried = None
+        if sample is not None:
+            tried = own.where("trial").join(sample.select("id", "truth"), "id")
+        elif by_number:
+            # labels: what the number says where amount, customer and subject together say the same
+            label = candidates(labels, observations, register, hot.get("label")).select("id", F.col("match").alias("truth"))
+            tried = written(found.join(label, "id"), "labels")
+            sure = tried.where("match = truth").orderBy(F.xxhash64("id")).limit(labelled).select("id", "truth")
+            sample = written(observations.join(sure, "id").withColumn("n", F.lit(None).cast("bigint")).withColumn("trial", F.lit(True)), "labelled-observations")
         good, seen = (0, 0) if tried is None else tried.agg(F.count_if(F.col("match") == F.col("truth")), F.count(F.lit(1))).first()
         confidence = (good + SMOOTHING[0]) / (seen + sum(SMOOTHING))
-        scored.append((rule.name, confidence))
-        part = own.withColumn("confidence", F.lit(float(confidence)))
+        part = found.select("id", "match", F.lit(rule.name).alias("rule"), F.lit(float(confidence)).alias("confidence"))
         out = part if out is None else out.unionByName(part)
     return out

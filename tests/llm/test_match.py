@@ -75,3 +75,18 @@ def test_records_that_share_a_key_are_told_apart_by_what_must_agree(spark):
     assert got.get(3, 107) == 107
     twice = {r["id"]: r["match"] for r in match_cascade(make(obs), make(reg + reg)).collect()}
     assert twice == got
+
+
+def test_suppliers_tell_contracts_of_one_customer_and_day_apart(spark):
+    day, schema = 1_700_000_000, SCHEMA + ", supplier string, inn string"
+    make = lambda rows: attributes(spark.createDataFrame(rows, schema), "id", "number", F.col("amount"), "at", "customer", "subject", "supplier", "inn")
+    reg = [(i, None, None, day, "МБОУ Школа 5", "Поставка мебели", f"ООО {s}", None) for i, s in enumerate(["Полюс", "Лагуна", "Сигма Снаб"])]
+    reg += [(10 + i, None, 500, day + 40 * 86400, f"МБОУ Лицей {i}", f"Ремонт окон {i}", s, None) for i, s in enumerate(["ООО Вектор", "АО Родник"])]
+    reg += [(20, None, None, day, "МУП Водоканал", "Аренда насосов", "ООО Теплолад", None)]
+    reg += [(30 + i, None, None, day, "МБОУ Сад", "Вывоз мусора", "ИП", inn) for i, inn in enumerate(["7707083893", "7728168971"])]
+    obs = [
+        (1, None, None, day + 86400, "Школа 5 МБОУ", None, "«Лагуна» ООО", None), (2, None, None, day, "МБОУ Школа 5", "Поставка мебели", "Сигма", None), (3, None, None, day, "МБОУ Школа 5", "Поставка мебели", "ИП", None),
+        (4, None, 500, None, None, "Ремонт окон", "Вектор", None), (5, None, None, day, "МУП Водоканал", "Аренда насосов № 4", "ООО Заречье", None), (6, None, None, day, "МБОУ Сад", "Вывоз мусора", "ИП", "7728168971"),
+    ]
+    got = {r["id"]: r["match"] for r in match_cascade(make(obs), make(reg)).collect()}
+    assert got == {1: 1, 2: 2, 4: 10, 6: 31}
