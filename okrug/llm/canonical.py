@@ -15,6 +15,8 @@ from okrug.operators.hotjoin import join_dictionary
 from okrug.session import written
 
 SIMILARITY, MOST_ENTRIES = 0.75, 200_000
+#: Share of the score that a word beyond those of the name takes off.
+EXTRA = 0.02
 
 # Keyboard layouts, transliteration, look-alike letters, words that name a kind of place, and words that name none.
 LATIN_KEYS, RUSSIAN_KEYS = "qwertyuiop[]asdfghjkl;'zxcvbnm,.`{}:\"<>~", "йцукенгшщзхъфывапролджэячсмитьбюёхъжэбюё"
@@ -109,6 +111,17 @@ class Canon:
             for form in {"".join(base), transliterated("".join(base))}:
                 for gram in set(_bigrams(form)):
                     self.index[gram].append((form, name))
+        #: names by their words without modifiers, and an index of the words' bigrams
+        self.bases = {n: [w for w in n.split() if w not in self.modifiers] or n.split() for n in names}
+        self.holders: dict[str, list[str]] = defaultdict(list)
+        for name, base in self.bases.items():
+            for w in set(base):
+                self.holders[w].append(name)
+        self.word_index: dict[str, list[tuple[str, str]]] = defaultdict(list)
+        for w in self.holders:
+            for form in {w, transliterated(w)}:
+                for gram in set(_bigrams(form)):
+                    self.word_index[gram].append((form, w))
 
     def mentions(self, words: list[str]) -> list[str]:
         """Names that stand in the words: the longest match wins, and matches don't overlap."""
@@ -124,8 +137,40 @@ class Canon:
             return []  # another place of the same base
         return [name for _, _, name in sorted(found)]
 
-    def similar(self, words: list[str]) -> tuple[float, str] | None:
-        """The name most similar by its set of words, a word's similarity being 1 - edits / length; ties go to the first name."""
+    def _near(self, text: str, index: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[float, str]]:
+        """(similarity, entry) of the entries of an index whose form is similar enough to `text`, the similarity being 1 - edits / length."""
+        counts: dict[tuple[str, str], int] = defaultdict(int)
+        for gram in set(_bigrams(text)):
+            for entry in index.get(gram, ()):
+                counts[entry] += 1
+        for (form, name), shared in counts.items():
+            longest = max(len(form), len(text))
+            most = int((1 - self.similarity) * longest + 1e-9)
+            # an edit breaks at most three bigrams, so that fewer in common rule a name out
+            if shared < len(set(_bigrams(form))) - 3 * most or abs(len(form) - len(text)) > most:
+                continue
+            edits = distance(text, form, most)
+            if edits <= most:
+                yield 1 - edits / longest, name
+
+    def _by_words(self, words: list[str], kind: str) -> Iterator[tuple[bool, float, str]]:
+        """(is of another kind, score, name) of names whose every word is similar to one of the words; each further word takes EXTRA off."""
+        near: dict[str, float] = {}
+        for w in set(words):
+            if len(w) >= 4:
+                for score, word in self._near(w, self.word_index):
+                    near[word] = max(near.get(word, 0.0), score)
+        for name in {n for word in near for n in self.holders[word]}:
+            base = self.bases[name]
+            if all(w in near for w in base):
+                score = sum(near[w] * len(w) for w in base) / sum(map(len, base))
+                yield kind not in self.kinds[name], score * (1 - EXTRA) ** min(max(len(words) - len(base), 0), 10), name
+
+    def similar(self, words: list[str], kind: str = "") -> tuple[float, str] | None:
+        """The name most similar by its set of words, or by all words as one, as a name may be split; ties go to the first name.
+
+        Of names similar by their words one of `kind` wins.
+        """
         near = {}
         for w in words:
             near[w] = next((m for m in self.modifiers if w == m), None) or next((m for m in sorted(self.modifiers) if len(w) > 3 and distance(w, m, 2) <= (1 if len(m) < 7 else 2)), None)
@@ -135,25 +180,12 @@ class Canon:
         base = "".join(w for w in words if not near[w])
         if len(base) < 4:
             return None
-        counts: dict[tuple[str, str], int] = defaultdict(int)
-        for gram in set(_bigrams(base)):
-            for entry in self.index.get(gram, ()):
-                counts[entry] += 1
-        best = None
-        for (form, name), shared in counts.items():
-            longest = max(len(form), len(base))
-            most = int((1 - self.similarity) * longest + 1e-9)
-            # an edit breaks at most three bigrams, so that fewer in common rule a name out
-            if shared < len(set(_bigrams(form))) - 3 * most or abs(len(form) - len(base)) > most:
-                continue
-            edits = distance(base, form, most)
-            own = {w for w in name.split() if w in self.modifiers and " " in name}
-            if edits > most or own != modifiers:
-                continue
-            score = 1 - edits / longest
-            if best is None or (-score, name) < (-best[0], best[1]):
-                best = (score, name)
-        return best
+        fits = lambda name: {w for w in name.split() if w in self.modifiers and " " in name} == modifiers
+        found = [(-score, name) for score, name in self._near(base, self.index) if fits(name)]
+        several = [w for w in words if not near[w]]
+        if len(several) > 1 and (by_words := min(((other, -score, name) for other, score, name in self._by_words(several, kind) if fits(name)), default=None)):
+            found.append(by_words[1:])
+        return min(((-score, name) for score, name in found), key=lambda x: (-x[0], x[1]), default=None)
 
     def resolve(self, value: str, kind: str) -> tuple[str | None, str, float]:
         """(name, method, confidence) of the entry meant by `value`, typed where `kind` is expected; name is None if there is none."""
@@ -164,7 +196,7 @@ class Canon:
         for words in readings:
             if found := self.mentions(words):
                 return min(found, key=lambda n: (kind not in self.kinds[n], -len(n), n)), "mention", 1.0
-        near = [x for words in readings if (x := self.similar(words))]
+        near = [x for words in readings if (x := self.similar(words, kind))]
         if near:
             score, name = min(near, key=lambda x: (-x[0], x[1]))
             return name, "similar", score

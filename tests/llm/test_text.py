@@ -156,6 +156,14 @@ def test_names_are_found(value, kind, name):
     assert Canon([r[:3] for r in REFS]).resolve(value, kind)[0] == name
 
 
+@pytest.mark.parametrize("value, kind, name", [
+    ("с. Хорпоесн, ул. Садовая", "locality", "хорпосен"), ("Белдитовсикй, собственник Жужелицын", "district", "белдитовский"), ("Хорпоесн Новый", "locality", "новый хорпосен"),
+    ("Кукушкин Зуллешкк", "city", "зуллешук"), ("Вертлезагтт, Гронтутовскмй р-н", "district", "гронтутовский"), ("Zuleshuk Sadovaya", "city", "зуллешук"), ("Садовая Кукушкин", "city", None),
+])
+def test_a_typo_beside_other_words(value, kind, name):
+    assert Canon([r[:3] for r in REFS]).resolve(value, kind)[0] == name
+
+
 def test_distance():
     assert [distance(*x, 9) for x in (("", ""), ("абв", "авб"), ("абв", "аб"), ("абв", "эюя"))] == [0, 1, 1, 3] and distance("аааа", "бббб", 2) == 3
     assert tokens("м.р-н  «Ёж»") == ["район", "еж"]
