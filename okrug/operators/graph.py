@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +12,11 @@ from okrug.operators.kernels import MOST_NODES
 from okrug.session import written
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; rank flows along edges by weight, that of nodes without a way out goes to all evenly.
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None, every: int = 5, tolerance: float = 1e-8) -> DataFrame:
+    """(node, rank); rank flows along edges by weight, that of nodes without a way out goes to all evenly.
 
+    Without `rounds`, a fixed number of them, it ends when no more than `tolerance` is left of all nodes' errors together: a round shrinks
+    the error by the damping, so that the changes of the last round tell it, and the number of rounds is bounded too.
     The state is written to the shared folder every few rounds, so that lineage stays short and survives lost executors.
     """
     e = written(edges.where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges")
@@ -21,12 +25,18 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: i
     nodes = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(rounds):
+    most = rounds if rounds is not None else max(1, math.ceil(math.log(tolerance / 2) / math.log(damping)))
+    for k in range(most):
+        before = rank
         given = rank.join(share, rank["node"] == share["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("s")).alias("in"))
         moved = given.agg(F.coalesce(F.sum("in"), F.lit(0.0)).alias("moved"))
         rank = nodes.join(given, nodes["node"] == given["dst"], "left").join(F.broadcast(moved)).select("node", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + (1 - F.col("moved")) / n)).alias("rank"))
         if (k + 1) % every == 0:
             rank = written(rank, "ranks")
+            if rounds is None:
+                change = rank.join(before.withColumnRenamed("rank", "before"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
+                if change * damping / (1 - damping) <= tolerance:
+                    break
     return rank
 
 

@@ -115,7 +115,7 @@ def g3_degrees(spark, sf):
 @query(f"""WITH RECURSIVE {K}, f AS (SELECT supplier_mo AS src, customer_mo AS dst, sum(price) AS w FROM k WHERE supplier_mo <> customer_mo GROUP BY 1, 2), s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS s FROM f), nodes AS (SELECT src AS node FROM f UNION SELECT dst FROM f), c AS (SELECT count(*) AS n FROM nodes),
  {', '.join(f"r{i} AS (SELECT node, 0.15 / n + 0.85 * (coalesce(g, 0) + (1 - (SELECT sum(x.rank * s) FROM r{i - 1} x JOIN s ON s.src = x.node)) / n) AS rank FROM nodes JOIN c ON true LEFT JOIN (SELECT dst, sum(x.rank * s) AS g FROM r{i - 1} x JOIN s ON s.src = x.node GROUP BY 1) ON dst = node)" if i else "r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, c)" for i in range(6))} SELECT node, round(rank, 6) AS rank FROM r5""")
 def g1_pagerank(spark, sf):
-    return G.pagerank(_flows(spark, sf).where("src <> dst"), rounds=5).select("node", r("rank", 6))
+    return G.pagerank(_flows(spark, sf).where("src <> dst")).select("node", r("rank", 6))
 
 
 @query()

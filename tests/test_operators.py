@@ -189,3 +189,15 @@ def test_streams(spark, tmp_path):
     assert sum(r[3] for r in run(S.windowed(stream(), "ts", "k", "v", "5 minutes"), "complete")) == 10
     assert sorted(r[1] for r in run(S.first_seen(stream(), "ts", ["k"]), "append")) == [0, 1]
     assert sorted(run(S.smoothed(stream(), "k", "v"), "update")) == [(0, 5, 6.125), (1, 5, 7.125)]
+
+
+def test_pagerank_runs_until_it_stands_still(spark):
+    """A long ring with one shortcut mixes slowly; against the solved linear system."""
+    edges = [(k, (k + 1) % 12, 1.0) for k in range(12)] + [(0, 6, 3.0)]
+    w = np.zeros((12, 12))
+    for i, j, x in edges:
+        w[i, j] = x
+    s = w / w.sum(1, keepdims=True)
+    want = np.linalg.solve(np.eye(12) - 0.85 * s.T, np.full(12, 0.15 / 12))
+    got = {r["node"]: r["rank"] for r in G.pagerank(spark.createDataFrame(edges, "src long, dst long, w double")).collect()}
+    assert max(abs(got[k] - want[k]) for k in range(12)) <= 1e-8
