@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from okrug.functions.registry import inn_valid
+from okrug.functions.registry import inn_valid, with_normal_inn
 from okrug.operators import panel as P
 from okrug.operators import quality as C
+from okrug.operators.timestamps import normalise_timestamps
 from okrug.plans.base import K, contracts, r, registry
 from okrug.session import load
 
@@ -100,3 +101,13 @@ def s16_example_queries(spark, sf):
     load(spark, sf, "contracts_msp_enriched").createOrReplaceTempView("okrug_contracts")
     return spark.sql("""SELECT substr(sign_date, 1, 7) AS month, law, count(*) AS contracts, sum(amount_cents) AS cents FROM okrug_contracts
         WHERE sign_date LIKE '____-__-__' AND customer_inn IN (SELECT customer_inn FROM okrug_contracts WHERE customer_inn IS NOT NULL GROUP BY customer_inn HAVING count(*) > 3) GROUP BY 1, 2""")
+
+
+@query()
+def s16_example_queries_all(spark, sf):
+    """s16_example_queries over every contract row whose sign_date can be read, by its month at UTC+5 and normal customer INNs."""
+    k = load(spark, sf, "contracts_msp_enriched").select("sign_date", "import_source_id", "law", "amount_cents", "customer_inn")
+    k = with_normal_inn(normalise_timestamps(k, "sign_date", "import_source_id", load(spark, sf, "sources")), "customer_inn", "normal")
+    often = k.where("normal IS NOT NULL").groupBy("normal").agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("normal")
+    month = F.date_format(F.timestamp_seconds(F.col("utc_epoch") + 5 * 3600), "yyyy-MM")
+    return k.where("utc_epoch IS NOT NULL").join(often, "normal", "left_semi").groupBy(month.alias("month"), "law").agg(F.count(F.lit(1)).alias("contracts"), F.sum("amount_cents").alias("cents"))

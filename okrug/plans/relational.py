@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from okrug.functions.registry import inn_valid
+from okrug.functions.registry import inn_valid, with_normal_inn
 from okrug.operators import panel as P
+from okrug.operators.timestamps import normalise_timestamps
 from okrug.plans.base import K, contracts, r, registry
 from okrug.session import load
 
@@ -288,6 +289,22 @@ def f11_status_join(spark, sf):
     return found.unionByName(rest)
 
 
+@query()
+def f11_status_join_all(spark, sf):
+    """f11_status_join over every row that means 2026-09-10 in its feed's layout and zone, by normal INNs."""
+    s = load(spark, sf, "msp_snapshot_rows").select("inn", "category", "snapshot_date", "source_id")
+    s = normalise_timestamps(s, "snapshot_date", "source_id", load(spark, sf, "sources"))
+    # the day at UTC+5, as for p3 and p4
+    s = s.where(F.floor((F.col("utc_epoch") + 5 * 3600) / 86400) == F.unix_date(F.lit("2026-09-10").cast("date")))
+    s = with_normal_inn(s, "inn", "normal").where("normal IS NOT NULL").groupBy("normal").agg(F.max("category").alias("category"), F.lit(True).alias("hit"))
+    k = with_normal_inn(load(spark, sf, "contracts_msp_enriched").select("row_id", "supplier_inn"), "supplier_inn", "normal")
+    blank = F.col("supplier_inn").isNull() | (F.trim("supplier_inn") == "")
+    # rows without a usable INN don't enter the join
+    rest = k.where("normal IS NULL").select("row_id", F.when(blank, "no id").otherwise("not found").alias("status"), F.lit(None).cast("string").alias("category"))
+    found = k.where("normal IS NOT NULL").join(s, "normal", "left").select("row_id", F.when(F.col("hit"), "found").otherwise("not found").alias("status"), "category")
+    return found.unionByName(rest)
+
+
 @query("""WITH d AS (SELECT name, min(mo_id) AS mo FROM place_refs WHERE kind = 'district' GROUP BY 1), c AS (SELECT name, min(mo_id) AS mo FROM place_refs WHERE kind = 'city' GROUP BY 1) SELECT row_id, CASE WHEN d.mo IS NOT NULL AND c.mo IS NOT NULL AND d.mo <> c.mo THEN 'conflict' WHEN d.mo IS NOT NULL THEN 'district' WHEN c.mo IS NOT NULL THEN 'city' ELSE 'none' END AS method, CASE WHEN d.mo <> c.mo THEN NULL ELSE coalesce(d.mo, c.mo) END AS mo FROM msp_snapshot_rows s LEFT JOIN d ON d.name = district_raw LEFT JOIN c ON c.name = city_raw""")
 def f12_conflict_resolution(spark, sf):
     ref = load(spark, sf, "place_refs")
