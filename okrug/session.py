@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="okrug-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -63,4 +63,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: lineage ends here, and the rows survive lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._okrug_path = path
+    return back
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As written(), but hashed and sorted by `key`, so that later joins on it shuffle and sort the other side only."""
+    spark = df.sparkSession
+    path, name = fresh_path(spark, label), f"okrug_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    back._okrug_path, back._okrug_table = path, name
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the tables behind frames of written() or bucketed(), which nothing may read any more."""
+    for df in frames:
+        path = getattr(df, "_okrug_path", None)
+        if not path:
+            continue
+        spark = df.sparkSession
+        if table := getattr(df, "_okrug_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
