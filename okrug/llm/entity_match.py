@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from okrug.functions.registry import with_normal_inn
-from okrug.session import HOT_SHARE, written
+from okrug.session import HOT_SHARE, bucketed, discard, written
 
-#: Days between the two sources' dates; edits between two spellings of a number; labelled rows at most, and the counts by which a precision is smoothed.
+#: Days between the two sources' dates; edits between two spellings of a number; labelled rows in the mean, and the counts by which a precision is smoothed.
 DAYS, EDITS, LABELLED, SMOOTHING = 4, 3, 50_000, (1.0, 1.0)
+#: Rows of one key that need no dealing over tasks, and the hash places by which keys with more are looked for.
+FEW_ROWS, PLACES = 10_000, 65_536
 
-# Look-alike letters, words of legal forms, and words that carry no meaning in a subject.
+# Look-alike letters, invisible characters, words of legal forms, and words that carry no meaning in a subject.
 LOOKALIKES = ("aceopxyё", "асеорхуе")
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 FORMS = (
     "мбдоу мбук мбоу мау мку муп гбуз гку ооо ао пк нпо ип муниципальное муниципальный бюджетное дошкольное образовательное общеобразовательное учреждение учреждения "
     "культуры автономное казенное унитарное предприятие государственное общество с ограниченной ответственностью акционерное производственный кооператив научно объединение"
@@ -24,47 +28,42 @@ SUBJECT_FILLERS = "договор контракт проект для по в 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pass: exact equality of `keys` (d within DAYS), and what must agree in part besides, of one register record only."""
+    """Exact equality of `keys` (d within DAYS), and what must agree in part besides, of one register record only."""
 
     name: str
     keys: tuple[str, ...]
     verify: str
     #: whether a record of another supplier is ruled out
     supplier: bool = False
+    #: the pass in which the rule's join runs; the rules of a pass are tried in their order
+    turn: int = 0
 
 
 RULES = [
     Rule("number", ("n",), "either"),
-    Rule("amount_customer", ("a", "c"), "subject"),
-    Rule("amount_subject", ("a", "s"), "customer"),
-    Rule("amount_date", ("a", "d"), "either"),
-    Rule("customer_subject_date", ("c", "s", "d"), "none"),
-    Rule("amount_supplier", ("a", "u"), "either"),
-    Rule("customer_supplier_date", ("c", "u", "d"), "no other subject"),
-    Rule("subject_supplier_date", ("s", "u", "d"), "no other customer"),
-    Rule("supplier_inn_date", ("i", "d"), "either"),
-    Rule("customer_date", ("c", "d"), "subject", supplier=True),
-    Rule("subject_date", ("s", "d"), "customer", supplier=True),
+    Rule("amount_customer", ("a", "c"), "subject", turn=1),
+    Rule("amount_subject", ("a", "s"), "customer", turn=1),
+    Rule("amount_date", ("a", "d"), "either", turn=1),
+    Rule("amount_supplier", ("a", "u"), "either", turn=1),
+    Rule("customer_subject_date", ("c", "s", "d"), "none", turn=2),
+    Rule("customer_supplier_date", ("c", "u", "d"), "no other subject", turn=2),
+    Rule("subject_supplier_date", ("s", "u", "d"), "no other customer", turn=2),
+    Rule("supplier_inn_date", ("i", "d"), "either", turn=3),
+    Rule("customer_date", ("c", "d"), "subject", supplier=True, turn=3),
+    Rule("subject_date", ("s", "d"), "customer", supplier=True, turn=3),
 ]
 
 
 def _words(text: Column, without: list[str]) -> Column:
-    plain = F.translate(F.regexp_replace(F.lower(text), r"[­​-‏⁠﻿]", ""), *LOOKALIKES)
-    parts = F.array_distinct(F.split(F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), " "))
-    return F.array_sort(F.array_except(parts, F.array(*[F.lit(x) for x in ["", *without]])))
-
-
-def _key(words: Column) -> Column:
-    return F.when(F.size(words) > 0, F.xxhash64(F.array_join(words, " ")))
-
-
-def _sketch(words: Column) -> Column:
-    """64 bits, one set for each word."""
-    return F.aggregate(F.coalesce(words, F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+    """The text's distinct words in one fixed order, joined by blanks; null where there is none."""
+    plain = F.translate(F.lower(text), LOOKALIKES[0] + INVISIBLE, LOOKALIKES[1])
+    parts = F.array_distinct(F.split(plain, r"[^\p{L}\p{N}]+"))
+    words = F.array_join(F.sort_array(F.array_except(parts, F.array(*[F.lit(x) for x in ["", *without]]))), " ")
+    return F.nullif(words, F.lit(""))
 
 
 def attributes(df: DataFrame, id_col: str, number: str, amount: Column, epoch: str, customer: str, subject: str, supplier: str | None = None, supplier_inn: str | None = None) -> DataFrame:
-    """(id, n, a, d, c, s, u, i, cbits, sbits, ubits): number, amount, day, customer, subject and supplier as 64-bit keys, the supplier's INN, and sketches of the three texts' words.
+    """(id, n, a, d, i, c, s, u): number, amount, day, the supplier's INN, and the words of customer, subject and supplier.
 
     A number counts by its digits, without what follows the word for "of"; an amount by its value where it is positive; a
     name or subject by its set of words, whatever their order, case, punctuation, legal form or look-alike letters; an INN if it is normal. What is missing is null.
@@ -73,117 +72,159 @@ def attributes(df: DataFrame, id_col: str, number: str, amount: Column, epoch: s
     df = df.withColumns({"__supplier": F.col(supplier) if supplier else text, "__inn": F.col(supplier_inn) if supplier_inn else text})
     df = with_normal_inn(df, "__inn", "__normal")
     digits = F.regexp_replace(F.regexp_replace(F.col(number), r"(?iu)\s+от\s.*$", ""), "[^0-9]", "")
-    out = df.select(F.col(id_col).alias("id"), digits.alias("digits"), amount.cast("bigint").alias("a"), F.floor((F.col(epoch) + 5 * 3600) / 86400).cast("bigint").alias("d"), _words(F.col(customer), FORMS).alias("cw"), _words(F.col(subject), SUBJECT_FILLERS).alias("sw"), _words(F.col("__supplier"), FORMS).alias("uw"), F.col("__normal").cast("bigint").alias("i"))
+    out = df.select(F.col(id_col).alias("id"), digits.alias("digits"), amount.cast("bigint").alias("a"), F.floor((F.col(epoch) + 5 * 3600) / 86400).cast("int").alias("d"), F.col("__normal").cast("bigint").alias("i"), _words(F.col(customer), FORMS).alias("c"), _words(F.col(subject), SUBJECT_FILLERS).alias("s"), _words(F.col("__supplier"), FORMS).alias("u"))
     number = F.when(F.length("digits").between(4, 18), F.col("digits").cast("bigint"))
-    return out.select("id", number.alias("n"), F.when(F.col("a") > 0, F.col("a")).alias("a"), "d", _key(F.col("cw")).alias("c"), _key(F.col("sw")).alias("s"), _key(F.col("uw")).alias("u"), "i", _sketch(F.col("cw")).alias("cbits"), _sketch(F.col("sw")).alias("sbits"), _sketch(F.col("uw")).alias("ubits"))
+    return out.select("id", number.alias("n"), F.when(F.col("a") > 0, F.col("a")).alias("a"), "d", "i", "c", "s", "u")
 
 
-def _common(bits: str) -> tuple[Column, Column]:
-    """Shares of common words, estimated from the sketches: of all words, and of the shorter text's; null where either side has none."""
-    a, b = F.col(bits), F.col(f"{bits}2")
-    both = F.when((a != 0) & (b != 0), F.bit_count(a.bitwiseAND(b)))
-    return both / F.bit_count(a.bitwiseOR(b)), both / F.least(F.bit_count(a), F.bit_count(b))
+def _shares(name: str) -> tuple[Column, Column]:
+    """Shares of common words: of all words, and of the shorter text's; null where either side has none."""
+    a, b = F.split(F.col(name), " "), F.split(F.col(f"{name}2"), " ")
+    both = F.size(F.array_intersect(a, b))
+    some = F.col(name).isNotNull() & F.col(f"{name}2").isNotNull()
+    return F.when(some, both / (F.size(a) + F.size(b) - both)), F.when(some, both / F.least(F.size(a), F.size(b)))
 
 
-def _verified(kind: str) -> Column:
-    customer, _ = _common("cbits")
-    _, subject = _common("sbits")  # subjects are cut short, so the shorter one's words count
-    if kind == "subject":
-        return F.coalesce(subject >= 0.75, F.lit(False))
-    if kind == "customer":
-        return F.coalesce(customer >= 0.5, F.lit(False))
-    if kind == "no other subject":
-        return F.coalesce(subject >= 0.5, F.lit(True))
-    if kind == "no other customer":
-        return F.coalesce(customer >= 0.3, F.lit(True))
-    if kind == "either":
-        return F.coalesce((subject >= 0.75) | (customer >= 0.9) | (subject.isNull() & (customer >= 0.5)), F.lit(False))
-    return F.lit(True)
+def _with_shares(met: DataFrame) -> DataFrame:
+    """Adds the shares that rules ask for, and `far`: 0 where INN or name tell the same supplier, 2 where they tell another one, 1 where nothing is told."""
+    met = met.withColumns({"__c": _shares("c")[0], "__s": _shares("s")[1], "__u": _shares("u")[1]})  # subjects are cut short, so the shorter one's words count
+    return met.withColumn("far", F.when(F.col("i") == F.col("i2"), 0).when(F.col("i") != F.col("i2"), 2).when(F.col("__u") >= 0.5, 0).when(F.col("__u") < 0.5, 2).otherwise(1))
 
 
-def _other_supplier() -> Column:
-    """0 where INN or name tell the same supplier, 2 where they tell another one, 1 where nothing is told."""
-    _, name = _common("ubits")
-    return F.when(F.col("i") == F.col("i2"), 0).when(F.col("i") != F.col("i2"), 2).when(name >= 0.5, 0).when(name < 0.5, 2).otherwise(1)
+VERIFIED = {
+    "subject": "coalesce(__s >= 0.75, false)",
+    "customer": "coalesce(__c >= 0.5, false)",
+    "no other subject": "coalesce(__s >= 0.5, true)",
+    "no other customer": "coalesce(__c >= 0.3, true)",
+    "either": "coalesce(__s >= 0.75 OR __c >= 0.9 OR (__s IS NULL AND __c >= 0.5), false)",
+    "none": "true",
+}
 
 
-def _key_of(rule: Rule, day: Column) -> Column:
-    """The rule's keys as one, null where one of them is missing."""
-    return F.when(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in rule.keys)), F.xxhash64(*[day if k == "d" else F.col(k) for k in rule.keys]))
+def _agrees(rule: Rule) -> Column:
+    """Whether a pair has the rule's keys in common and agrees as it asks."""
+    parts = [f"abs(d - d2) <= {DAYS}" if k == "d" else f"{k} = {k}2" for k in rule.keys] + [VERIFIED[rule.verify]]
+    if "n" not in rule.keys:  # two numbers that differ by more than slips tell two records
+        parts.append(f"(n IS NULL OR n2 IS NULL OR levenshtein(CAST(n AS STRING), CAST(n2 AS STRING), {EDITS}) >= 0)")
+    if rule.supplier:
+        parts.append("far < 2")
+    return F.coalesce(F.expr(" AND ".join(parts)), F.lit(False))
 
 
-def hot_keys(rules: list[Rule], register: DataFrame) -> dict[str, DataFrame]:
-    """(key, salts) by the name of each rule that has keys with more than one register row in 1024: the number of such shares in them.
+def _key(at: int, rule: Rule, block: Column) -> Column:
+    """The rule's keys as one hash, null where one of them is missing; what it brings together is compared attribute by attribute."""
+    return F.when(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in rule.keys)), F.xxhash64(F.lit(at), *[block if k == "d" else F.col(k) for k in rule.keys]))
+
+
+def _block(day: Column) -> Column:
+    """Blocks of days as long as the span around a date, which then touches two blocks at most."""
+    return F.floor(day / (2 * DAYS + 1))
 
-    There are at most 1024 such keys a rule, so that they can be broadcast.
-    """
-    share = max(register.count() / HOT_SHARE, 1.0)
-    each = register.select(F.explode(F.array(*[F.struct(F.lit(rule.name).alias("rule"), _key_of(rule, F.col("d")).alias("key")) for rule in rules])).alias("x")).select("x.*")
-    counts = each.where("key IS NOT NULL").groupBy("rule", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > share)
-    hot = written(counts.select("rule", "key", F.ceil(F.col("rows") / share).cast("int").alias("salts")), "hot-keys")
-    return {r["rule"]: hot.where(F.col("rule") == r["rule"]).select("key", "salts") for r in hot.select("rule").distinct().collect()}
 
+def _register_keys(rules: list[tuple[int, Rule]], register: DataFrame) -> DataFrame:
+    keys = F.array(*[_key(at, rule, _block(F.col("d"))) for at, rule in rules])
+    return register.select("rid", F.col("d").alias("d2"), F.explode(keys).alias("key")).where("key IS NOT NULL")
 
-def candidates(rule: Rule, observations: DataFrame, register: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """(id, trial, match): the only register record with the rule's keys that agrees, that of the same supplier and then the nearest day first; none on a tie of records that agree.
 
-    An observation meets every register row of its key, and only then must one record be left. A key in `hot` (key, salts) is dealt
-    over its salts, so that no task has to hold more than about a 1024th of the register for one key. Copies of a record count once. `trial` tells observations with
-    the same id apart, so that the labelled ones are judged in the join that the others need anyway.
+def hot_keys(rules: list[Rule], register: DataFrame, few: int = FEW_ROWS) -> DataFrame | None:
+    """(key, salts) of the keys that more than `few` rows and one register row in 1024 have; None if there are none.
+
+    There are at most 1024 such keys a rule, so that they can be broadcast. Keys are counted by places of a hash first, a table of
+    fixed size, and only those of places that hold so many rows are counted one by one.
+    """
+    total = register.count()
+    share = max(total / HOT_SHARE, few)
+    if total <= share:
+        return None
+    keys = _register_keys(list(enumerate(rules)), register)
+    place = F.pmod("key", F.lit(PLACES)).cast("int").alias("place")
+    places = keys.groupBy(place).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > share).select("place").collect()  # at most 1024 a rule
+    if not places:
+        return None
+    full = keys.where(F.pmod("key", F.lit(PLACES)).cast("int").isin([p["place"] for p in places]))
+    hot = written(full.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > share).select("key", F.ceil(F.col("rows") / share).cast("int").alias("salts")), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def candidates(rules: list[tuple[int, Rule]], asked: DataFrame, register: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(id, trial, rid): each observation with every register row that has a key in common with it, by one exact join on the keys of all `rules`.
+
+    A key in `hot` (key, salts) is dealt over its salts, so that no task has to hold more than about a 1024th of the register for one key.
     """
-    rows = register.select(_key_of(rule, F.col("d")).alias("key"), F.col("id").alias("id2"), F.col("cbits").alias("cbits2"), F.col("sbits").alias("sbits2"), F.col("ubits").alias("ubits2"), F.col("i").alias("i2"), F.col("n").alias("n2")).where("key IS NOT NULL")
-    days = range(-DAYS, DAYS + 1) if "d" in rule.keys else [0]
-    asked = observations.withColumn("off", F.explode(F.array(*[F.lit(x) for x in days])))
-    asked = asked.withColumn("key", _key_of(rule, F.col("d") + F.col("off"))).where("key IS NOT NULL")
+    rows = _register_keys(rules, register)
+    ways = [_key(at, rule, b) for at, rule in rules for b in ((_block(F.col("d") - DAYS), _block(F.col("d") + DAYS)) if "d" in rule.keys else (F.lit(0),))]
+    probes = asked.select("id", "trial", "d", F.explode(F.array_distinct(F.array(*ways))).alias("key")).where("key IS NOT NULL")
     on = ["key"]
     if hot is not None:
         salts, on = F.coalesce("salts", F.lit(1)), ["key", "salt"]
-        rows = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("id2"), salts).cast("int")).drop("salts")
-        asked = asked.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    met = asked.join(rows, on).where(_verified(rule.verify))
-    if "n" not in rule.keys:  # two numbers that differ by more than slips tell two records
-        apart = F.levenshtein(F.col("n").cast("string"), F.col("n2").cast("string"), EDITS)
-        met = met.where(F.col("n").isNull() | F.col("n2").isNull() | (apart >= 0))
-    far = met.withColumns({"far": _other_supplier(), "off": F.abs("off")})
-    if rule.supplier:
-        far = far.where("far < 2")
-    near = far.groupBy("id", "trial").agg(F.min(F.struct("far", "off", F.col("id2").alias("m"))).alias("first"), F.max(F.struct((-F.col("far")).alias("far"), (-F.col("off")).alias("off"), F.col("id2").alias("m"))).alias("last"))
-    return near.where("first.m = last.m").select("id", "trial", F.col("first.m").alias("match"))
+        rows = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod("rid", salts).cast("int")).drop("salts")
+        probes = probes.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    met = probes.join(rows, on)
+    if all("d" in rule.keys for _, rule in rules):
+        met = met.where(F.abs(F.col("d") - F.col("d2")) <= DAYS)
+    return met.select("id", "trial", "rid")
+
+
+def verdicts(rules: list[tuple[int, Rule]], pairs: DataFrame, asked: DataFrame, register: DataFrame) -> DataFrame:
+    """(id, trial, at, match, same_amount, same_text): for each rule the only register record that agrees with the observation.
+
+    Of the records that agree that of the same supplier and then the nearest day comes first; on a tie there is none. Copies of a record count once.
+    """
+    other = register.select("rid", F.col("id").alias("match"), *[F.col(x).alias(f"{x}2") for x in "nadicsu"])
+    met = _with_shares(pairs.join(other, "rid").drop("rid").join(asked, ["id", "trial"]))
+    off = lambda rule: F.abs(F.col("d") - F.col("d2")) if "d" in rule.keys else F.lit(0)
+    each = F.array_compact(F.array(*[F.when(_agrees(rule), F.struct(F.lit(at).alias("at"), off(rule).alias("off"))) for at, rule in rules]))
+    same = {"same_amount": F.coalesce(F.col("a") == F.col("a2"), F.lit(False)), "same_text": F.coalesce(F.expr(f"c = c2 AND s = s2 AND abs(d - d2) <= {DAYS}"), F.lit(False))}
+    agreed = met.select("id", "trial", "match", "far", *[x.alias(k) for k, x in same.items()], F.explode(each).alias("x"))
+    order = F.struct(F.col("far"), F.col("x.off"), F.col("match"), "same_amount", "same_text")
+    last = F.struct(-F.col("far"), -F.col("x.off"), F.col("match"))
+    near = agreed.groupBy("id", "trial", F.col("x.at").alias("at")).agg(F.min(order).alias("first"), F.max(last).alias("last"))
+    return near.where("first.match = last.match").select("id", "trial", "at", "first.match", "first.same_amount", "first.same_text")
 
 
 def match_cascade(observations: DataFrame, register: DataFrame, rules: list[Rule] | None = None, labelled: int = LABELLED) -> DataFrame:
     """(id, match, rule, confidence): at most one register record per observation; both inputs as attributes() gives them.
 
-    Rules run in order, each on the observations that no rule before resolved. A rule's confidence is its precision on labelled rows,
-    smoothed: (right + 1) / (all + 2). Labels are observations whose number, amount, customer and subject all name the same register record: a rule is
-    judged by what it says of them (at most `labelled` of them, by the hash of their ids) without the number, or, for the number, by what the others say.
+    Passes run in the order of `turn`, each on the observations that no pass before resolved: an exact join on the keys of its rules brings the
+    candidates, whose attributes are then compared themselves; the first rule that leaves one record holds. A rule's confidence is its precision on labelled rows,
+    smoothed: (right + 1) / (all + 2). Labelled rows are about `labelled` observations that the number resolves, chosen by the hash of their ids; all other rules
+    judge them without the number. A rule on amounts is judged where the number's record has the observation's customer, subject and date, any other where it
+    has its amount, so that no rule is judged by what it asks itself; the number is judged by rules on amounts where amount, customer, subject and date are all the same.
 
     Repeated observations are matched each; an observation or record without an attribute takes no part in the rules that
-    need it; ids must be 64-bit integers, null ids don't count; ties leave a row to later rules; empty inputs give an empty result.
+    need it; ids of observations must be 64-bit integers, null ids don't count; ties leave a row to later rules; empty inputs give an empty result.
     """
     rules = RULES if rules is None else rules
-    observations = observations.where(F.col("id").isNotNull()).withColumn("trial", F.lit(False))
-    register = register.where(F.col("id").isNotNull())
-    labels = Rule("label", ("a", "c", "s"), "none")
-    hot = hot_keys([labels, *rules], register)
-    by_number = bool(rules) and rules[0].keys == ("n",)
-    left, out, sample = observations, None, None
-    for rule in rules:
-        asked = left if sample is None else left.unionByName(sample.drop("truth"))
-        own = written(candidates(rule, asked, register, hot.get(rule.name)), f"matched-{rule.name}")
-        found = own.where("NOT trial").drop("trial")
-        left = left.join(found, "id", "left_anti")
-        tried = None
+    left = written(observations.where(F.col("id").isNotNull()).withColumn("trial", F.lit(False)), "observations")
+    register = bucketed(register.where(F.col("id").isNotNull()).withColumn("rid", F.xxhash64("id")), "rid", "register")
+    hot = hot_keys(rules, register)
+    sample, trials, out, spent = None, [], [], [hot]
+    for turn in sorted({rule.turn for rule in rules}):
+        own = [(at, rule) for at, rule in enumerate(rules) if rule.turn == turn]
+        asked = left if sample is None else left.unionByName(sample.drop("truth", "same_amount", "same_text"))
+        pairs = candidates(own, asked, register, hot)
+        said = written(verdicts(own, pairs, asked, register), f"verdicts-{turn}")
+        found = said.where("NOT trial").groupBy("id").agg(F.min(F.struct("at", "match", "same_amount", "same_text")).alias("x")).select("id", "x.*")
+        out.append(found.select("id", "match", "at"))
         if sample is not None:
-            tried = own.where("trial").join(sample.select("id", "truth"), "id")
-        elif by_number:
-            # labels: what the number says where amount, customer and subject together say the same
-            label = candidates(labels, observations, register, hot.get("label")).select("id", F.col("match").alias("truth"))
-            tried = written(found.join(label, "id"), "labels")
-            sure = tried.where("match = truth").orderBy(F.xxhash64("id")).limit(labelled).select("id", "truth")
-            sample = written(observations.join(sure, "id").withColumn("n", F.lit(None).cast("bigint")).withColumn("trial", F.lit(True)), "labelled-observations")
-        good, seen = (0, 0) if tried is None else tried.agg(F.count_if(F.col("match") == F.col("truth")), F.count(F.lit(1))).first()
-        confidence = (good + SMOOTHING[0]) / (seen + sum(SMOOTHING))
-        part = found.select("id", "match", F.lit(rule.name).alias("rule"), F.lit(float(confidence)).alias("confidence"))
-        out = part if out is None else out.unionByName(part)
-    return out
+            trials.append(said.where("trial").drop("trial"))
+        rest = written(left.join(found, "id", "left_anti"), "observations-left")
+        if sample is None and rules[0].keys == ("n",) and turn == rules[0].turn:
+            sure = found.where("at = 0")
+            places = -(-labelled * 2**20 // max(sure.count(), 1))
+            sure = sure.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2**20)) < places).select("id", F.col("match").alias("truth"), "same_amount", "same_text")
+            sample = written(left.join(sure, "id").withColumns({"n": F.lit(None).cast("bigint"), "trial": F.lit(True)}), "labelled-observations")
+        spent.append(left)
+        left = rest
+    seen = {}
+    if trials:
+        judged = reduce(DataFrame.unionByName, [t.withColumnsRenamed({"same_amount": "own_amount", "same_text": "own_text"}) for t in trials]).join(sample.select("id", "truth", "same_amount", "same_text"), "id")
+        amount = [at for at, rule in enumerate(rules) if "a" in rule.keys]
+        right = F.count_if(F.col("match") == F.col("truth"))
+        each = judged.where(F.when(F.col("at").isin(amount), F.col("same_text")).otherwise(F.col("same_amount"))).groupBy("at").agg(right.alias("good"), F.count(F.lit(1)).alias("all"))
+        number = judged.where(F.col("at").isin(amount) & F.col("own_amount") & F.col("own_text")).groupBy("id").agg(F.min("match").alias("match"), F.min("truth").alias("truth")).agg(F.lit(0).alias("at"), right.alias("good"), F.count(F.lit(1)).alias("all"))
+        seen = {r["at"]: (r["good"], r["all"]) for r in each.unionByName(number).collect()}  # one row a rule
+    confidence = [(seen.get(at, (0, 0))[0] + SMOOTHING[0]) / (seen.get(at, (0, 0))[1] + sum(SMOOTHING)) for at in range(len(rules))]
+    discard(register, left, sample, *spent)
+    named = F.array(*[F.struct(F.lit(rule.name).alias("rule"), F.lit(float(x)).alias("confidence")) for rule, x in zip(rules, confidence)])
+    return reduce(DataFrame.unionByName, out).select("id", "match", F.get(named, F.col("at")).alias("x")).select("id", "match", "x.*")

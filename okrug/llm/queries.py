@@ -13,7 +13,7 @@ from okrug.llm.split import split_documents
 from okrug.llm.tokens import token_count
 from okrug.operators.badrows import amount_value, stripped
 from okrug.operators.timestamps import normalise_timestamps
-from okrug.session import load, written
+from okrug.session import load
 
 
 def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[int, int, int]]:
@@ -29,12 +29,10 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     contracts = load(spark, sf_dir, "contracts_msp_enriched").select("canonical_contract_id", "contract_number", "sign_date", "import_source_id", "amount", "amount_cents", "customer", "subject", "supplier", "supplier_inn").where(F.col("canonical_contract_id").isNotNull())
     contracts = normalise_timestamps(contracts, "sign_date", "import_source_id", load(spark, sf_dir, "sources"))
     cents = F.coalesce(F.col("amount_cents"), (amount_value(stripped(F.col("amount"))) * 100).cast("bigint"))
-    register = written(attributes(contracts.withColumn("id", F.xxhash64("canonical_contract_id")), "id", "contract_number", cents, "utc_epoch", "customer", "subject", "supplier", "supplier_inn"), "register-attributes")
+    register = attributes(contracts, "canonical_contract_id", "contract_number", cents, "utc_epoch", "customer", "subject", "supplier", "supplier_inn")
     seen = load(spark, sf_dir, "atmo_contract_observations").withColumn("utc_epoch", F.unix_seconds(F.try_to_timestamp("contract_at_utc")))
-    observations = written(attributes(seen, "row_id", "registration_number", F.col("price_kopecks"), "utc_epoch", "customer_name", "subject", "supplier_name", "supplier_inn"), "observation-attributes")
-    matched = match_cascade(observations, register)
-    names = contracts.select("canonical_contract_id").distinct().withColumn("match", F.xxhash64("canonical_contract_id"))
-    return matched.join(names, "match").select(F.col("id").alias("atmo_row_id"), "canonical_contract_id", "rule", "confidence")
+    observations = attributes(seen, "row_id", "registration_number", F.col("price_kopecks"), "utc_epoch", "customer_name", "subject", "supplier_name", "supplier_inn")
+    return match_cascade(observations, register).select(F.col("id").alias("atmo_row_id"), F.col("match").alias("canonical_contract_id"), "rule", "confidence")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
