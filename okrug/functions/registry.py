@@ -11,20 +11,20 @@ WEIGHTS_11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 WEIGHTS_12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 
 
-def _digit(text: Column, at: Column | int) -> Column:
-    return F.ascii(F.substring(text, F.lit(at) if isinstance(at, int) else at, F.lit(1))) - F.lit(48)
-
-
-def _control(text: Column, weights: tuple[int, ...]) -> Column:
-    # a fold over constant (place, weight) pairs: written out term by term, the generated code would be too long to compile
-    pairs = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(w).alias("w")) for k, w in enumerate(weights, 1)])
-    return F.aggregate(pairs, F.lit(0), lambda total, x: total + _digit(text, x.at) * x.w) % 11 % 10
+def _control(number: Column, places: int, weights: tuple[int, ...]) -> Column:
+    """The check digit that the weights give for the first digits of a number of so many places, by integer arithmetic alone."""
+    total = F.lit(0).cast("bigint")
+    for k, w in enumerate(weights, 1):
+        total = total + F.floor(number / F.lit(float(10 ** (places - k)))).cast("bigint") % 10 * w
+    return total % 11 % 10
 
 
 def inn_valid(text: Column) -> Column:
-    """`text` should be a plain column, as it is read once a digit. True where it is 10 or 12 ASCII digits with right check digits; false otherwise, also for null."""
-    ten = text.rlike("^[0-9]{10}$") & (_control(text, WEIGHTS_10) == _digit(text, 10))
-    twelve = text.rlike("^[0-9]{12}$") & (_control(text, WEIGHTS_11) == _digit(text, 11)) & (_control(text, WEIGHTS_12) == _digit(text, 12))
+    """`text` should be a plain column. True where it is 10 or 12 ASCII digits with right check digits; false otherwise, also for null."""
+    n = text.try_cast("bigint")
+    last = lambda back: F.floor(n / F.lit(float(10**back))).cast("bigint") % 10
+    ten = text.rlike("^[0-9]{10}$") & (_control(n, 10, WEIGHTS_10) == last(0))
+    twelve = text.rlike("^[0-9]{12}$") & (_control(n, 12, WEIGHTS_11) == last(1)) & (_control(n, 12, WEIGHTS_12) == last(0))
     return F.coalesce(F.when(F.length(text) == 10, ten).when(F.length(text) == 12, twelve), F.lit(False))
 
 

@@ -13,6 +13,8 @@ from okrug.functions.registry import inn_valid
 
 BLANKS = r"[ \u00a0\u2007\u202f]"
 EDGES = r"^[\s\u00a0\u2007\u202f\ufeff]+|[\s\u00a0\u2007\u202f\ufeff]+$"
+#: Fields that the reader is asked to take apart; a line with more is corrupt as it stands.
+READ_FIELDS = 1_000
 AMOUNT = r"^(?:[0-9]+|[0-9]{1,3}(?:[ \u00a0\u2007\u202f][0-9]{3})+)(?:[.,][0-9]{1,2})?$"
 
 
@@ -62,7 +64,8 @@ def classify_lines(lines: DataFrame, line: str, columns: list[str], checks: list
     whole field nor is doubled inside one (delimiters and line breaks may stand inside quotes); else `column_count` = another
     number of fields than columns; else one reason per failed cast, named as the column. A line without reasons is good.
 
-    A null line has no fields and is `column_count`, as is an empty one. Repeated lines are judged each. Other columns pass
+    A line that no reading could bring near the columns, with more than READ_FIELDS fields, isn't read at all: it is corrupt, and has its reason from the
+    classification as every other. A null line has no fields and is `column_count`, as is an empty one. Repeated lines are judged each. Other columns pass
     through, but for those named as the four that are added. Works on one line at a time: no shuffle, no limit on its length.
     """
     schema = T.StructType([*[T.StructField(x, T.StringType()) for x in columns], T.StructField("__corrupt", T.StringType())])
@@ -81,8 +84,12 @@ def classify_lines(lines: DataFrame, line: str, columns: list[str], checks: list
     out = out.withColumn("__count", F.when(F.col(line).isNull(), 0).otherwise(F.length(outer) - F.length(F.replace(outer, F.lit(delimiter), F.lit(""))) + 1))
     sound = ~F.col("__quoting") & (F.col("__count") == len(columns))
     # as a generator, so that the optimizer doesn't read the line once for each column
-    read = F.from_csv(F.coalesce(F.col(line), F.lit("")), schema.simpleString(), options)
-    out = out.select(*keep, "__quoting", "__count", F.explode(F.array(read)).alias("__read"))
+    text = F.coalesce(F.col(line), F.lit(""))
+    # quotes that don't pair may show the reader any delimiter
+    fields = F.when(F.col("__quoting"), F.length(text) - F.length(F.replace(text, F.lit(delimiter), F.lit(""))) + 1).otherwise(F.col("__count"))
+    wide = fields > READ_FIELDS
+    read = F.from_csv(F.when(wide, F.lit("")).otherwise(text), schema.simpleString(), options)
+    out = out.select(*keep, "__quoting", "__count", F.when(wide, F.col(line)).alias("__wide"), F.explode(F.array(read)).alias("__read"))
     out = out.withColumn("fields", F.when(sound, F.struct(*[F.col(f"__read.{x}").alias(x) for x in columns])))
     # step by step, so that no step is evaluated once a digit
     out = out.withColumns({f"__clean_{x.column}": x.clean(F.col(f"fields.{x.column}")) for x in checks})
@@ -90,7 +97,7 @@ def classify_lines(lines: DataFrame, line: str, columns: list[str], checks: list
     failed = [F.when(F.col(f"__value_{x.column}").isNull() & ~(F.coalesce(F.col(f"fields.{x.column}"), F.lit("")) == "" if x.may_be_empty else F.lit(False)), x.column) for x in checks]
     reasons = F.when(F.col("__quoting"), F.array(F.lit("quoting"))).when(F.col("__count") != len(columns), F.array(F.lit("column_count"))).otherwise(F.array_compact(F.array(*failed)))
     typed = F.when(sound, F.struct(*[F.col(f"__value_{x.column}").alias(x.column) for x in checks]))
-    return out.select(*keep, "fields", typed.alias("typed"), reasons.alias("reasons"), F.col("__read.__corrupt").alias("corrupt"))
+    return out.select(*keep, "fields", typed.alias("typed"), reasons.alias("reasons"), F.coalesce("__wide", "__read.__corrupt").alias("corrupt"))
 
 
 CONTRACT_COLUMNS = ["canonical_contract_id", "contract_number", "sign_date", "law", "amount", "currency", "customer", "customer_inn", "supplier", "supplier_inn", "subject"]

@@ -102,4 +102,6 @@ found AS (
  UNION ALL SELECT raw_id, doc_no, 'license_activity', parent_no, no, {_value("x", "Текст", "name")} FROM act)
 SELECT raw_id, CAST(doc_no AS INT) AS doc_no, child, CAST(parent_no AS INT) AS parent_no, CAST(child_no AS INT) AS child_no, trim(value) AS value FROM found WHERE trim(value) <> ''"""
 
-ORACLE = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6}
+P2_UNREAD = f"WITH {INSTANTS} SELECT source, r.raw, count(*) AS n FROM instants i JOIN raw r USING (table_name, row_id) WHERE utc_epoch IS NULL AND trim(r.raw) <> '' GROUP BY ALL"
+
+ORACLE = {"p1_found": P1, "p2_found": P2, "p2_unread": P2_UNREAD, "p3_found": P3, "p4_found": P4, "p6_found": P6}

@@ -10,7 +10,7 @@ from okrug.operators.asof import in_force, last_known
 from okrug.operators.badrows import contract_lines
 from okrug.operators.nested import register_tables
 from okrug.operators.snapshots import snapshot_changes
-from okrug.operators.timestamps import normalise_timestamps
+from okrug.operators.timestamps import normalise_timestamps, unread_timestamps
 from okrug.plans.problem_sql import ORACLE  # noqa: F401  (read by the entry module)
 from okrug.session import load, written
 
@@ -36,6 +36,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("utc_epoch").isNotNull()).select("table_name", "row_id", "utc_epoch")
 
 
+def p2_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of either table that name no instant, with the number of their rows."""
+    contracts = load(spark, sf_dir, "contracts_msp_enriched").select(F.col("sign_date").alias("raw"), F.col("import_source_id").alias("source"))
+    snapshots = load(spark, sf_dir, "msp_snapshot_rows").select(F.col("snapshot_date").alias("raw"), F.col("source_id").alias("source"))
+    return unread_timestamps(contracts.unionByName(snapshots), "raw", "source", load(spark, sf_dir, "sources"))
+
+
 def _category_class(text: Column) -> Column:
     """micro, small or medium of a freely spelt category; Latin letters that look like Cyrillic ones count as these."""
     plain = F.translate(F.lower(F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))), "aceopx", "асеорх")
@@ -78,4 +85,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract_lines(load(spark, sf_dir, "contract_lines_raw").select("line_id", "line")).select("line_id", F.explode("reasons").alias("reason"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unread": p2_unread, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}

@@ -1,6 +1,7 @@
 """The general data problems on small fixtures, against plain loops, with the cases that each operator defines."""
 
 import datetime as dt
+import pathlib
 import random
 
 import pytest
@@ -11,9 +12,9 @@ from okrug.functions.timeparse import with_epoch
 from okrug.operators.asof import in_force, last_known
 from okrug.operators.badrows import contract_lines, good_contracts
 from okrug.operators.hotjoin import join_dictionary
-from okrug.operators.nested import register_tables, triples_of
+from okrug.operators.nested import discover, nested_tables, register_tables, triples, triples_of
 from okrug.operators.snapshots import snapshot_changes
-from okrug.operators.timestamps import normalise_timestamps
+from okrug.operators.timestamps import _parts, normalise_timestamps, read_dictionary, unread_timestamps
 from okrug.session import fresh_path, written
 
 
@@ -41,6 +42,23 @@ TEXTS = [
     ("2024-10-27 02:30:00", "Europe/Berlin", utc(2024, 10, 27, 0, 30)),  # twice: the earlier
     ("2024-03-31 02:30:00", "Europe/Berlin", utc(2024, 3, 31, 1, 30)),  # skipped: the offset before
     ("2024-02-29", "UTC", utc(2024, 2, 29)),
+    ("2024-01-01 10:00 Europe/Berlin", None, utc(2024, 1, 1, 9)),
+    ("2024-07-01 10:00 CET", None, utc(2024, 7, 1, 9)),
+    ("2024-01-01 10:00 EST", "UTC", utc(2024, 1, 1, 15)),
+    ("Mon, 01 Jan 2024 10:00:00 GMT", "Europe/Berlin", utc(2024, 1, 1, 10)),
+    ("пн, 1 января 2024 г.", "UTC", utc(2024, 1, 1)),
+    ("1700929465999123", None, 1700929465),
+    ("1700929465.5", None, 1700929465),
+    ("2024-W01-1", "UTC", utc(2024, 1, 1)),
+    ("2020W537T10:00Z", None, utc(2021, 1, 3, 10)),
+    ("2021-W53-1", "UTC", None),
+    ("2024-W01", "UTC", None),
+    ("2024-366", "UTC", utc(2024, 12, 31)),
+    ("2023-366", "UTC", None),
+    ("2024-060T12:00Z", None, utc(2024, 2, 29, 12)),
+    ("2024-01-01 24:00", "UTC", utc(2024, 1, 2)),
+    ("2024-01-01 24:01", "UTC", None),
+    ("10:15 01.02.2024", "UTC", utc(2024, 2, 1, 10, 15)),
     ("2023-02-29", "UTC", None),
     ("2026-13-31", "UTC", None),
     ("00.00.0000", "UTC", None),
@@ -75,7 +93,16 @@ def test_dictionary_of_timestamps(spark):
         got = normalise_timestamps(df, "t", "s", sources, dictionary=path)
         assert got.columns == ["id", "t", "s", "utc_epoch"]
         assert sorted(((r["id"], r["utc_epoch"]) for r in got.collect()), key=str) == want
-    assert spark.read.parquet(path).count() == 5
+    assert read_dictionary(spark, path).count() == 5 and len(_parts(spark, path)) == 1
+    # values that two runs added at once are held once; a part that wasn't completed isn't read
+    spark.read.parquet(*_parts(spark, path)).write.parquet(f"{path}/again")
+    read_dictionary(spark, path).limit(1).write.parquet(f"{path}/broken")
+    (pathlib.Path(path.removeprefix("file://")) / "broken" / "_SUCCESS").unlink()
+    assert read_dictionary(spark, path).count() == 5 and len(_parts(spark, path)) == 2
+    assert normalise_timestamps(df, "t", "s", sources, dictionary=path).count() == len(rows)
+    blank = sources.union(spark.createDataFrame([("", "Asia/Tokyo"), (None, "Asia/Tokyo")], sources.schema))
+    assert [r["utc_epoch"] for r in normalise_timestamps(df.where("id = 6"), "t", "s", blank).collect()] == [None]
+    assert [tuple(r) for r in unread_timestamps(df, "t", "s", sources).orderBy("n", "source").collect()] == [(None, "2024-01-01", 1), ("c", "2024-01-01", 1)]
     assert normalise_timestamps(df.limit(0), "t", "s", sources).count() == 0
 
 
@@ -102,6 +129,37 @@ def test_triples_and_tables(spark):
     assert register_tables(df.limit(0))["document"].count() == 0
 
 
+def test_tables_of_an_unknown_schema_join_back_to_the_document(spark):
+    rows = [
+        (1, '{"order": {"no": 7, "lines": [{"sku": "a", "tags": ["x", "y"]}, {"sku": "b", "tags": ["z"], "price": {"net": 5}}]}, "a.b": "1", "a": {"b": "2"}}'),
+        (2, '{"order": {"lines": {"sku": "c"}, "no": 8, "no": 9}}'),
+        (3, "{"),
+    ]
+    df = spark.createDataFrame(rows, "doc bigint, body string")
+    t = nested_tables(df, "doc", "body")
+    line, tag = t["order.lines"], t["order.lines.tags"]
+    assert sorted((r["doc"], r["order.no"], r["a\\u002eb"], r["a.b"]) for r in t[""].collect()) == [(1, "7", "1", "2"), (2, "9", None, None)]
+    assert sorted((r["doc"], r["order.lines_no"], r["sku"], r["price.net"]) for r in line.collect()) == [(1, 1, "a", None), (1, 2, "b", "5"), (2, 1, "c", None)]
+    back = tag.alias("t").join(line.alias("l"), (F.col("t.doc") == F.col("l.doc")) & (F.col("t.`order.lines_no`") == F.col("l.`order.lines_no`")))
+    assert sorted((r["sku"], r["value"]) for r in back.select("l.sku", "t.value").collect()) == [("a", "x"), ("a", "y"), ("b", "z")]
+    # nothing is lost: a member given twice, and paths beyond those that become columns
+    assert [(r["doc"], r["table"], r["column"], r["value"]) for r in t["repeated"].collect()] == [(2, "", "order.no", "8")]
+    assert t["other"].count() == 0
+    found = triples(df, "doc", "body")
+    few = nested_tables(df, "doc", "body", most=2)
+    assert few["other"].count() == found.count() - 2 and few[""].columns == ["doc", "a.b", "a\\u002eb"]
+    assert [s.name for s in discover(found)] == ["", "order.lines", "order.lines.tags"]
+    assert nested_tables(df.limit(0), "doc", "body")["other"].count() == 0
+
+
+def test_depth_is_no_limit():
+    deep = '{"a":' * 100_000 + '"x"' + "}" * 100_000
+    assert [(p.count("."), len(o), v) for p, o, v in triples_of(deep)] == [(99_999, 100_000, "x")]
+    assert triples_of("[" * 100_000 + "]" * 100_000) == [] and triples_of(deep[:-1]) == []
+    for text in ('{"a":1,}', '{"a":01}', '{"a":"\\x"}', "[1,]", '{"a" 1}', "{} {}", '{"a":NaN}', '{"a":"\n"}'):
+        assert triples_of(text) == []
+
+
 def brute_changes(rows):
     states = {}
     for snap, key, value, at in rows:
@@ -189,6 +247,14 @@ def test_bad_rows(spark):
     assert contract_lines(df.limit(0)).count() == 0
 
 
+def test_lines_too_wide_for_the_reader(spark):
+    inside = ";".join(["x"] * 10 + ['"' + ";" * 40_000 + '"'])
+    lines = [";" * 30_000, 'a"' + ";" * 30_000, inside]
+    got = contract_lines(spark.createDataFrame(list(enumerate(lines)), "line_id bigint, line string")).orderBy("line_id").collect()
+    assert [r["reasons"][:1] for r in got] == [["column_count"], ["quoting"], ["supplier_inn"]]
+    assert got[0]["corrupt"] == lines[0] and got[1]["corrupt"] == lines[1] and got[2]["fields"]["subject"] == ";" * 40_000
+
+
 def test_join_dictionary(spark):
     rows = spark.createDataFrame([("hot",)] * 3000 + [(f"v{i}",) for i in range(1500)] + [(None,), ("unknown",)], "k string")
     known = written(rows.where("k IS NOT NULL AND k <> 'unknown'").groupBy("k").agg(F.count(F.lit(1)).alias("__n"), F.max(F.upper("k")).alias("u")), "test-values")
