@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +27,15 @@ _ELEMENT = re.compile(rf"{_BLANKS}(){_VALUE}{_BLANKS}").match
 _CLOSE = {True: re.compile(rf"{_BLANKS}\}}{_BLANKS}").match, False: re.compile(rf"{_BLANKS}\]{_BLANKS}").match}
 
 
+def _unescaped(text: str) -> str:
+    """What a JSON string means; half a surrogate pair, which no text can hold, becomes the replacement character."""
+    text = json.loads(f'"{text}"')
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _name(key: str) -> str:
     if "\\" in key:
-        key = json.loads(f'"{key}"')
+        key = _unescaped(key)
     if "." in key or "[" in key or "\\" in key:
         key = key.replace("\\", "\\u005c").replace(".", "\\u002e").replace("[", "\\u005b")
     return key
@@ -77,7 +83,7 @@ def _scan(text: str, names: list[str], ordinals: list[int], embedded: frozenset[
             value = m[kind]
             if kind == 2:
                 if "\\" in value:
-                    value = json.loads(f'"{value}"')
+                    value = _unescaped(value)
                 if embedded and inside is not None and path.replace(LIST, "") in embedded:
                     before = len(out)
                     if not _scan(value, path.split("."), list(steps), frozenset(), out):
@@ -126,17 +132,29 @@ def triples(df: DataFrame, id_col: str, payload_col: str, embedded: tuple[str, .
     """The triples of all payloads with their place `seq` in the payload, written once to the shared folder: every table is pivoted from them."""
     places = frozenset(embedded)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ends, steps, seqs, paths, values = [], [0], [], [], [], []
+
+        def full() -> pa.RecordBatch:
+            ordinals = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(steps, pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), ordinals, pa.array(values, pa.string()), pa.array(seqs, pa.int32())], ["id", "path", "ordinals", "value", "seq"])
+
         for batch in batches:
-            for i, payload in zip(batch["id"], batch["payload"]):
-                rows += [(i, *t, seq) for seq, t in enumerate(triples_of(payload, places))]
-                if len(rows) >= BATCH:
-                    yield pd.DataFrame(rows, columns=["id", "path", "ordinals", "value", "seq"])
-                    rows = []
-        yield pd.DataFrame(rows, columns=["id", "path", "ordinals", "value", "seq"])
-
-    return written(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(payload_col).alias("payload")).mapInPandas(walk, TRIPLE), "triples")
+            for i, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = triples_of(payload.as_py(), places)
+                ids += [i] * len(found)
+                seqs += range(len(found))
+                for path, ordinals, value in found:
+                    paths.append(path)
+                    values.append(value)
+                    steps += ordinals
+                    ends.append(len(steps))
+                if len(ids) >= BATCH:
+                    yield full()
+                    ids, ends, steps, seqs, paths, values = [], [0], [], [], [], []
+        yield full()
+
+    return written(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(payload_col).alias("payload")).mapInArrow(walk, TRIPLE), "triples")
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from okrug.functions.hashing import xxhash64
-from okrug.session import written
+from okrug.session import discard, written
 
 #: Keys that share a hash bucket on average, cells of a bucket's first table, and growth of a table whose peeling failed.
 KEYS_A_BUCKET, FIRST_CELLS, GROWTH, ROUNDS = 1000, 384, 4, 4
@@ -77,7 +77,7 @@ def snapshot_changes(rows: DataFrame, snapshot: str, key: str, value: str, order
     by a digest and classified against the states themselves, so that the result is exact.
     """
     base = rows.select(F.col(snapshot).alias("snap"), F.col(key).alias("key"), F.col(value).alias("value"), *[F.col(x).alias(f"o{i}") for i, x in enumerate(order)])
-    base = base.where(F.col("snap").isNotNull())
+    base = written(base.where(F.col("snap").isNotNull()), "snapshot-rows")
     # one row a snapshot: as many as there are snapshots, not rows
     ordinals = written(base.select("snap").distinct().withColumn("s", F.row_number().over(Window.orderBy("snap"))), "snapshots")
     n = ordinals.count()
@@ -87,6 +87,7 @@ def snapshot_changes(rows: DataFrame, snapshot: str, key: str, value: str, order
     states = base.where(F.col("key").isNotNull()).groupBy("snap", "key").agg(best)
     states = states.join(F.broadcast(ordinals), "snap").select("s", "key", "value", F.xxhash64("key").alias("k"), F.xxhash64("key", F.coalesce(F.col("value").cast("string"), F.lit("\0")), F.lit(7)).alias("d"))
     states = written(states, "snapshot-states")
+    discard(base)
     total = states.count()
     buckets = max(1, -(-total // (keys_a_bucket * max(n, 1))))
     sides = F.filter(F.array(F.struct(F.col("s").alias("pair"), F.lit(1).alias("side")), F.struct((F.col("s") + 1).alias("pair"), F.lit(-1).alias("side"))), lambda x: x.pair.between(2, n))

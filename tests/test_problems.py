@@ -156,6 +156,7 @@ def test_depth_is_no_limit():
     deep = '{"a":' * 100_000 + '"x"' + "}" * 100_000
     assert [(p.count("."), len(o), v) for p, o, v in triples_of(deep)] == [(99_999, 100_000, "x")]
     assert triples_of("[" * 100_000 + "]" * 100_000) == [] and triples_of(deep[:-1]) == []
+    assert triples_of(r'{"a":"\ud800x","\udc00":"\ud83d\ude00"}') == [("a", [1], "\ufffdx"), ("\ufffd", [1], "\U0001f600")]
     for text in ('{"a":1,}', '{"a":01}', '{"a":"\\x"}', "[1,]", '{"a" 1}', "{} {}", '{"a":NaN}', '{"a":"\n"}'):
         assert triples_of(text) == []
 
