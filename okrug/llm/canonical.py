@@ -1,4 +1,4 @@
-"""Freely typed values mapped to a canonical list: an automaton over names and aliases, then token-set similarity."""
+"""Freely typed values mapped to a canonical list: an automaton over names and aliases, then the similarity of word sets."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from okrug.operators.hotjoin import join_dictionary
-from okrug.session import written
+from okrug.session import discard, written
 
 SIMILARITY, MOST_ENTRIES = 0.75, 200_000
-#: Share of the score that a word beyond those of the name takes off.
-EXTRA = 0.02
+#: Share of the score that a word beyond those of the name takes off, and names beside which a word must stand to count as no part of any.
+EXTRA, BESIDE = 0.02, 3
 
 # Keyboard layouts, transliteration, look-alike letters, words that name a kind of place, and words that name none.
 LATIN_KEYS, RUSSIAN_KEYS = "qwertyuiop[]asdfghjkl;'zxcvbnm,.`{}:\"<>~", "йцукенгшщзхъфывапролджэячсмитьбюёхъжэбюё"
@@ -27,9 +27,9 @@ KINDS = {
     "city": "г гор город го городской округ g gor gorod go",
     "locality": "с село д дер деревня п пос поселок х хутор рп пгт снт s selo d der derevnya p pos kh rp",
 }
-FILLERS = "рф россия край обл область заречный заречная регистрация уточнить по уставу"
+#: Words that make a name of the word before them one of a region, which contains the places of the list.
+REGIONS = frozenset("край области область обл республика респ kray oblast".split())
 TYPES = {word: kind for kind, words in KINDS.items() for word in words.split()}
-STOP = {*TYPES, *FILLERS.split()}
 #: Abbreviations that keep their dot when typed in the wrong layout.
 SWAPPED_DOT = re.compile(r"(?:(?<=^)|(?<=[\s(\"]))(u|ujh|c|l|lth|g|gjc|\[|v|vey)\.")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -153,50 +153,89 @@ class Canon:
             if edits <= most:
                 yield 1 - edits / longest, name
 
-    def _by_words(self, words: list[str], kind: str) -> Iterator[tuple[bool, float, str]]:
-        """(is of another kind, score, name) of names whose every word is similar to one of the words; each further word takes EXTRA off."""
-        near: dict[str, float] = {}
-        for w in set(words):
-            if len(w) >= 4:
-                for score, word in self._near(w, self.word_index):
-                    near[word] = max(near.get(word, 0.0), score)
-        for name in {n for word in near for n in self.holders[word]}:
-            base = self.bases[name]
-            if all(w in near for w in base):
-                score = sum(near[w] * len(w) for w in base) / sum(map(len, base))
-                yield kind not in self.kinds[name], score * (1 - EXTRA) ** min(max(len(words) - len(base), 0), 10), name
+    def _modifier(self, word: str) -> tuple[float, str] | None:
+        """(similarity, modifier) of the modifier that a word is, with a slip or two."""
+        if word in self.modifiers:
+            return 1.0, word
+        for m in sorted(self.modifiers):
+            if word.isascii() and transliterated(m) == word:
+                return 1.0, m
+            if len(word) > 3 and (edits := distance(word, m, 2)) <= (1 if len(m) < 7 else 2):
+                return 1 - edits / max(len(word), len(m)), m
+        return None
 
     def similar(self, words: list[str], kind: str = "") -> tuple[float, str] | None:
-        """The name most similar by its set of words, or by all words as one, as a name may be split; ties go to the first name.
+        """(score, name) of the name whose set of words is most similar to that of `words`, or None.
 
-        Of names similar by their words one of `kind` wins.
+        Each word of a name is compared to its most similar word here, wherever it stands; the score is the mean by length, and each further word takes EXTRA off. All
+        words as one are a second reading, as a name may be split. A modifier here must be one of the name, and one of the name must be here. Names of `kind` win, then the better score, then the first name.
         """
-        near = {}
-        for w in words:
-            near[w] = next((m for m in self.modifiers if w == m), None) or next((m for m in sorted(self.modifiers) if len(w) > 3 and distance(w, m, 2) <= (1 if len(m) < 7 else 2)), None)
-            if near[w] is None and w.isascii():
-                near[w] = next((m for m in sorted(self.modifiers) if transliterated(m) == w), None)
-        modifiers = {m for m in near.values() if m}
-        base = "".join(w for w in words if not near[w])
-        if len(base) < 4:
+        slips = {w: m for w in words if (m := self._modifier(w))}
+        modifiers = {m for _, m in slips.values()}
+        rest = [w for w in words if w not in slips]
+        if not rest:
             return None
-        fits = lambda name: {w for w in name.split() if w in self.modifiers and " " in name} == modifiers
-        found = [(-score, name) for score, name in self._near(base, self.index) if fits(name)]
-        several = [w for w in words if not near[w]]
-        if len(several) > 1 and (by_words := min(((other, -score, name) for other, score, name in self._by_words(several, kind) if fits(name)), default=None)):
-            found.append(by_words[1:])
-        return min(((-score, name) for score, name in found), key=lambda x: (-x[0], x[1]), default=None)
-
-    def resolve(self, value: str, kind: str) -> tuple[str | None, str, float]:
-        """(name, method, confidence) of the entry meant by `value`, typed where `kind` is expected; name is None if there is none."""
-        readings = [tokens(value)]
+        near: dict[str, float] = {}
+        for w in set(rest):
+            for score, word in [(1.0, w)] if w in self.holders else self._near(w, self.word_index) if len(w) >= 4 else ():
+                near[word] = max(near.get(word, 0.0), score)
+        sure = {m: max(s for s, x in slips.values() if x == m) for m in modifiers}
+        own = lambda name: [w for w in name.split() if w in self.modifiers] if " " in name else []
+
+        def total(name: str, base: float, length: int) -> float:
+            mods = own(name)
+            return (base * length + sum(sure[m] * len(m) for m in mods)) / (length + sum(map(len, mods)))
+
+        found = []
+        for name in {n for word in near for n in self.holders[word]}:
+            base = self.bases[name]
+            if set(own(name)) == modifiers and all(w in near for w in base):
+                length = sum(map(len, base))
+                score = total(name, sum(near[w] * len(w) for w in base) / length, length)
+                found.append((kind not in self.kinds[name], -score * (1 - EXTRA) ** min(max(len(rest) - len(base), 0), 10), name))
+        glued = "".join(rest)
+        if len(glued) >= 4:
+            for score, name in self._near(glued, self.index):
+                if set(own(name)) == modifiers:
+                    found.append((kind not in self.kinds[name], -total(name, score, len(glued)), name))
+        best = min(found, default=None)
+        return best and (-best[1], best[2])
+
+    def readings(self, value: str) -> list[list[str]]:
+        """The value's words without numbers: as they stand, and as typed in the wrong keyboard layout; names of regions are left out where the list has none such."""
+        out = [tokens(value)]
         if not re.search("[а-яё]", value.lower()):
-            readings.append(tokens(SWAPPED_DOT.sub(r"\1 ", value.lower()).translate(UNSWAP)))
-        readings = [[w for w in r if w not in STOP and not w.isdigit()] for r in readings]
-        for words in readings:
-            if found := self.mentions(words):
-                return min(found, key=lambda n: (kind not in self.kinds[n], -len(n), n)), "mention", 1.0
-        near = [x for words in readings if (x := self.similar(words, kind))]
+            out.append(tokens(SWAPPED_DOT.sub(r"\1 ", value.lower()).translate(UNSWAP)))
+        return [self._without_regions([w for w in r if not w.isdigit()]) for r in out]
+
+    def _without_regions(self, words: list[str]) -> list[str]:
+        out: list[str] = []
+        for w in words:
+            if w in REGIONS and f"{out[-1]} {w}" not in self.kinds if out else w in REGIONS:
+                out = out[:-1]
+            else:
+                out.append(w)
+        return out
+
+    def mentioned(self, value: str, kind: str) -> tuple[str | None, list[str]]:
+        """(name, words beside it): the name that stands in the value, words that tell a kind of place counting at first, as names may have them."""
+        for plain in (False, True):
+            for words in self.readings(value):
+                words = [w for w in words if w not in TYPES] if plain else words
+                if found := self.mentions(words):
+                    name = min(found, key=lambda n: (kind not in self.kinds[n], -len(n), n))
+                    taken = {w for n in found for w in (*n.split(), *transliterated(n).split())}
+                    return name, [w for w in words if w not in taken and w not in TYPES]
+        return None, []
+
+    def resolve(self, value: str, kind: str, noise: frozenset[str] = frozenset()) -> tuple[str | None, str, float]:
+        """(name, method, confidence) of the entry meant by `value`, typed where `kind` is expected; name is None if there is none. Words in `noise` are no part of a name."""
+        name, _ = self.mentioned(value, kind)
+        return (name, "mention", 1.0) if name else self.resembled(value, kind, noise)
+
+    def resembled(self, value: str, kind: str, noise: frozenset[str] = frozenset()) -> tuple[str | None, str, float]:
+        """As resolve(), for a value in which no name stands as it is."""
+        near = [x for words in self.readings(value) if (x := self.similar([w for w in words if w not in TYPES and w not in noise], kind))]
         if near:
             score, name = min(near, key=lambda x: (-x[0], x[1]))
             return name, "similar", score
@@ -211,6 +250,7 @@ def map_to_canon(rows: DataFrame, row_id: str, fields: dict[str, str], refs: Dat
     entry is meant. Of entries that share a name, the one whose mo_id is that of the entry in the row's column `context` is meant; where
     that tells nothing, the least place_id stands.
 
+    Words that stand beside BESIDE or more names of the list, as regions, streets or remarks do, are left out of the comparison of words.
     Each distinct value is resolved once; values are joined back by broadcast if hot, else by a shuffle. Null and blank
     values have no row; repeated rows each have theirs; an empty list maps everything to 0; long values are read whole.
     """
@@ -225,18 +265,45 @@ def map_to_canon(rows: DataFrame, row_id: str, fields: dict[str, str], refs: Dat
     long = rows.select(F.col(row_id).alias("row_id"), asked.alias("context"), F.explode(each).alias("x")).select("row_id", "context", "x.*").where(F.col("value").isNotNull() & ~F.col("value").rlike(blank))
     counts = written(long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("__n")), "typed-values")
 
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def places(known: Canon, name: str | None, kind: str) -> list[int]:
+        kinds = known.kinds.get(name, [])
+        chosen = kind if kind in kinds else kinds[0] if kinds else None
+        return sorted(known.places.get((name, chosen), []))
+
+    def mention(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Canon(shared.value, similarity)
+        for batch in batches:
+            out = []
+            for kind, value, rows_ in zip(batch["kind"], batch["value"], batch["__n"]):
+                name, beside = known.mentioned(value, kind)
+                if name:  # a word of a name is never noise
+                    beside = sorted({w for w in beside if w not in known.holders and w not in known.modifiers})
+                else:
+                    beside = sorted({w for words in known.readings(value) for w in words})
+                out.append((kind, value, rows_, name, beside, places(known, name, kind)))
+            yield pd.DataFrame(out, columns=["kind", "value", "__n", "name", "words", "places"])
+
+    def resemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Canon(shared.value, similarity)
         for batch in batches:
             out = []
-            for kind, value, n in zip(batch["kind"], batch["value"], batch["__n"]):
-                name, method, confidence = known.resolve(value, kind)
-                kinds = known.kinds.get(name, [])
-                chosen = kind if kind in kinds else kinds[0] if kinds else None
-                out.append((kind, value, n, sorted(known.places.get((name, chosen), [])), method, confidence))
+            for kind, value, rows_, noise in zip(batch["kind"], batch["value"], batch["__n"], batch["noise"]):
+                name, method, confidence = known.resembled(value, kind, frozenset(() if noise is None else noise))
+                out.append((kind, value, rows_, places(known, name, kind), method, confidence))
             yield pd.DataFrame(out, columns=["kind", "value", "__n", "places", "method", "confidence"])
 
-    known = written(counts.repartition("value").mapInPandas(resolve, "kind string, value string, __n bigint, places array<bigint>, method string, confidence double"), "typed-values-resolved")
+    said = written(counts.repartition(n, "value").mapInPandas(mention, "kind string, value string, __n bigint, name string, words array<string>, places array<bigint>"), "typed-values-mentions")
+    # a word that stands beside several names is no slip of another one
+    beside = said.where("name IS NOT NULL").select("name", F.explode("words").alias("word")).groupBy("word").agg(F.count_distinct("name").alias("names")).where(F.col("names") >= BESIDE).select("word")
+    open_ = said.where("name IS NULL")
+    noise = open_.select("kind", "value", F.explode("words").alias("word")).join(beside, "word").groupBy("kind", "value").agg(F.collect_set("word").alias("noise"))
+    rest = open_.join(noise, ["kind", "value"], "left").select("kind", "value", "__n", "noise").repartition(n, "value")
+    resembled = rest.mapInPandas(resemble, "kind string, value string, __n bigint, places array<bigint>, method string, confidence double")
+    sure = said.where("name IS NOT NULL").select("kind", "value", "__n", "places", F.lit("mention").alias("method"), F.lit(1.0).alias("confidence"))
+    known = written(sure.unionByName(resembled), "typed-values-resolved")
+    discard(counts, said)
     found = join_dictionary(long, known, ["kind", "value"])
     sure = found.where(F.size("places") <= 1).withColumn("place_id", F.coalesce(F.get("places", F.lit(0)), F.lit(0)))
     open_ = found.where(F.size("places") > 1)

@@ -164,6 +164,32 @@ def test_a_typo_beside_other_words(value, kind, name):
     assert Canon([r[:3] for r in REFS]).resolve(value, kind)[0] == name
 
 
+NAMES = [(1, "Заречный", "locality"), (2, "Новая Деревня", "locality"), (3, "Красная Поляна", "locality"), (4, "Новая Ляда", "locality"), (5, "Ям", "locality")]
+
+
+@pytest.mark.parametrize("value, name, sure", [
+    ("Заречный", "заречный", True), ("г. Заречный", "заречный", True), ("Заречный край, д. Новая Деревня", "новая деревня", True), ("Заречный край", None, False), ("Новая Деревня", "новая деревня", True),
+    ("деревня Новая Деревня", "новая деревня", True), ("Краснае Поляна", "красная поляна", False), ("Поляна Красная", "красная поляна", False), ("пос. Ям", "ям", True), ("Старая Поляна", None, False),
+])
+def test_words_of_kind_and_region_may_be_names(value, name, sure):
+    got = Canon(NAMES).resolve(value, "locality")
+    assert got[0] == name and (got[2] == 1.0 and got[1] == "mention") == sure and got[2] <= 1
+
+
+def test_slips_cost_in_every_word():
+    canon = Canon(NAMES)
+    assert canon.resolve("Краснае Поляна", "locality")[2] < 1 > canon.resolve("Красная Полана", "locality")[2]
+    # a word that is beside other names, too, is no part of a name
+    assert canon.resolve("зареч ный уточнить", "locality")[0] is None and canon.resolve("зареч ный уточнить", "locality", frozenset(["уточнить"]))[0] == "заречный"
+
+
+def test_noise_is_found_in_the_values(spark):
+    rows = [(i, None, f"{n}, поселковый совет") for i, (_, n, _) in enumerate(NAMES)] + [(9, None, "Зареч ный поселковый совет")]
+    refs = spark.createDataFrame([(*r, 1) for r in NAMES], "place_id int, name string, kind string, mo_id int")
+    got = map_to_canon(spark.createDataFrame(rows, "row_id bigint, d string, l string"), "row_id", {"l": "locality"}, refs)
+    assert {r["row_id"]: r["place_id"] for r in got.collect()} == {0: 1, 1: 2, 2: 3, 3: 4, 4: 5, 9: 1}
+
+
 def test_distance():
     assert [distance(*x, 9) for x in (("", ""), ("абв", "авб"), ("абв", "аб"), ("абв", "эюя"))] == [0, 1, 1, 3] and distance("аааа", "бббб", 2) == 3
     assert tokens("м.р-н  «Ёж»") == ["район", "еж"]
