@@ -12,7 +12,7 @@ from okrug.operators.kernels import MOST_NODES
 from okrug.session import written
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None, every: int = 5, tolerance: float = 1e-8) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None, every: int = 2, tolerance: float = 1e-8) -> DataFrame:
     """(node, rank); rank flows along edges by weight, that of nodes without a way out goes to all evenly.
 
     Without `rounds`, a fixed number of them, it ends when no more than `tolerance` is left of all nodes' errors together: a round shrinks

@@ -128,3 +128,19 @@ def cosine_layer(vectors: DataFrame, entity: str, values: str) -> DataFrame:
     scaled = vectors.select(entity, norm.alias("n"), F.col(values).alias("v")).select(entity, F.transform("v", lambda x: x / F.col("n")).alias("v"))
     dot = F.aggregate(F.zip_with("v_i", "v_j", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return pairs_of(scaled, entity, ["v"]).select(F.col("i").alias("src"), F.col("j").alias("dst"), ((dot + 1) / 2).alias("w"))
+
+
+def road_distance(roads: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """(src, dst, w) for all ordered pairs of `nodes` (node), a dimension: the least distance of one `type` in either direction, null where there is none."""
+    own = roads.where(F.col("type") == kind).select("src", "dst", "w")
+    least = symmetric(own).where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
+    pairs = pairs_of(nodes.withColumnRenamed("node", "mo"), "mo", [])
+    every = symmetric(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(0.0).alias("w"))).drop("w")
+    return every.join(least, ["src", "dst"], "left")
+
+
+def leaders(edges: DataFrame) -> DataFrame:
+    """(leader, follower, lead, lag) of lead_lag() edges: those stronger than the edge the other way round, which counts as 0 where it is missing."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("back"))
+    both = edges.join(back, ["src", "dst"], "left").withColumn("lead", F.col("w") - F.coalesce("back", F.lit(0.0)))
+    return both.where("lead > 0").select(F.col("src").alias("leader"), F.col("dst").alias("follower"), "lead", "lag")

@@ -158,3 +158,51 @@ def year_on_year(df: DataFrame, entity: str, year: str, value: str) -> DataFrame
     """`delta` and `growth` against the year before, if there is one."""
     was = df.select(F.col(entity), (F.col(year) + 1).alias(year), F.col(value).alias("before"))
     return df.join(was, [entity, year], "left").withColumns({"delta": F.col(value) - F.col("before"), "growth": ratio(F.col(value), F.col("before")) - 1})
+
+
+def prefixed(df: DataFrame, prefix: str, replacement: str = "") -> DataFrame:
+    """The columns whose names begin with `prefix`, which is replaced."""
+    return df.select(*[F.col(c).alias(replacement + c[len(prefix) :]) for c in df.columns if c.startswith(prefix)])
+
+
+def money_text(cents: Column) -> Column:
+    """Hundredths of a non-negative sum as text: thousands parted by blanks, a decimal comma and two digits."""
+    whole = F.translate(F.format_number(F.call_function("div", cents, F.lit(100)), 0), ",", " ")
+    return F.concat(whole, F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def signed_text(value: Column, unit: int = 1) -> Column:
+    """A whole number of units with its sign, none for 0; what is less than a unit is dropped."""
+    sign = F.when(value > 0, "+").when(value < 0, "-").otherwise("")
+    return F.concat(sign, F.translate(F.format_number(F.call_function("div", F.abs(value), F.lit(unit)), 0), ",", " "))
+
+
+def paged(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
+    """`page` from 1, of so many rows each, by a total order; for lists that are shown, as one task numbers them."""
+    return df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / rows).cast("int") + 1)
+
+
+def shared_domain(df: DataFrame, value: str, ticks: int) -> DataFrame:
+    """(lo, hi, step) of all series together; the step is 1, 2 or 5 times a power of ten and gives about `ticks` ticks. Null for no values, step null for equal ones."""
+    raw = (F.col("hi") - F.col("lo")) / ticks
+    d = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).withColumn("raw", F.when(raw > 0, raw))
+    p = F.pow(F.lit(10.0), F.floor(F.log10("raw")))
+    step = F.when(F.col("raw") <= p, p).when(F.col("raw") <= 2 * p, 2 * p).when(F.col("raw") <= 5 * p, 5 * p).otherwise(10 * p)
+    return d.select("lo", "hi", F.when(F.col("raw").isNotNull(), step).alias("step"))
+
+
+def index_parts(metrics: DataFrame, entity: str, indices: dict[str, dict[str, int]]) -> DataFrame:
+    """(index, entity, metric, value, pct): for each index, which maps metrics to their sense (1 or -1), its metrics' percent ranks among the entities that have them.
+
+    `metrics` is (entity, metric, value). The definitions are a few settings and are sent out.
+    """
+    spark = metrics.sparkSession
+    rows = [(i, m, s) for i, parts in indices.items() for m, s in parts.items()]
+    wanted = F.broadcast(spark.createDataFrame(rows, "index string, metric string, sense int"))
+    x = metrics.select(entity, "metric", "value").join(wanted, "metric").withColumn("__v", F.col("value") * F.col("sense"))
+    return rank_percent(x, ["index", "metric"], "__v", "pct").select("index", entity, "metric", "value", "pct")
+
+
+def composed_indices(metrics: DataFrame, entity: str, indices: dict[str, dict[str, int]]) -> DataFrame:
+    """(index, entity, score): the mean of the percent ranks that index_parts() gives; a missing metric is left out of the mean."""
+    return index_parts(metrics, entity, indices).groupBy("index", entity).agg(F.avg("pct").alias("score"))

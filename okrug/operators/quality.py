@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from okrug.operators.panel import rank_percent
+
 
 def rows_that(df: DataFrame, name: str, bad: Column) -> DataFrame:
     """How many rows fulfil a condition that none should."""
@@ -46,6 +48,29 @@ def asymmetric_edges(edges: DataFrame, name: str, tolerance: float = 1e-9) -> Da
     return rows_that(j, name, F.col("w2").isNull() | (F.abs(F.col("w") - F.col("w2")) > tolerance))
 
 
+def totals_hold(parts: DataFrame, totals: DataFrame, by: str, entity: str, value: str, published: str) -> DataFrame:
+    """(by, parts, entities, holds): whether the parts of each group sum to its published total, a unit of rounding a part allowed; a group without parts fails.
+
+    `parts` has one whole-number `value` an entity and group; more parts than entities tell that one was matched twice.
+    """
+    sums = parts.groupBy(by).agg(F.count(F.lit(1)).alias("parts"), F.count_distinct(entity).alias("entities"), F.sum(value).alias("__sum"))
+    j = totals.join(sums, by, "left")
+    holds = F.coalesce(F.abs(F.col("__sum") - F.col(published)) <= F.col("parts"), F.lit(False))
+    return j.select(by, F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("entities", F.lit(0)).alias("entities"), holds.alias("holds"))
+
+
+def parts_complete(df: DataFrame, part: str, ordinal: str) -> DataFrame:
+    """(part, lines, last, complete): whether each part has every ordinal from 1 to its last exactly once."""
+    g = df.groupBy(part).agg(F.count(F.lit(1)).alias("lines"), F.max(ordinal).alias("last"), F.count_distinct(ordinal).alias("__d"))
+    return g.select(part, "lines", "last", ((F.col("__d") == F.col("last")) & (F.col("lines") == F.col("last"))).alias("complete"))
+
+
+def percentiles_hold(df: DataFrame, by: list[str], value: str, stored: str) -> DataFrame:
+    """(by, n, off): values whose stored percent rank is more than half a rank from the one computed again."""
+    again = rank_percent(df, by, value, "__pct").join(df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
+    return again.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col(stored) - F.col("__pct")) > F.lit(50.0) / F.col("__n")).alias("off"))
+
+
 def report(checks: list[DataFrame]) -> DataFrame:
     """All checks, with their verdicts."""
     return reduce(DataFrame.unionByName, checks).withColumn("verdict", F.when(F.col("bad") == 0, "PASS").otherwise("FAIL"))

@@ -76,3 +76,9 @@ def nearest_centroid(points: DataFrame, centres: DataFrame, key: str, vector: st
     d = points.join(few(centres.select(F.col(label).alias("__label"), "c")))
     near = d.groupBy(key).agg(F.min(F.struct(squared(F.col(vector).cast("array<double>"), "c").alias("d"), "__label")).alias("m"))
     return near.select(key, F.col("m.__label").alias(label))
+
+
+def without_derived(pairs: DataFrame, derived: DataFrame) -> DataFrame:
+    """`pairs` (x, y, ...) without those of `derived` (a, b), in either order, of which one is computed from the other."""
+    both = derived.select(F.col("a").alias("x"), F.col("b").alias("y")).union(derived.select("b", "a"))
+    return pairs.join(both, ["x", "y"], "left_anti")

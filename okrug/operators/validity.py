@@ -176,15 +176,24 @@ def s_dbw(points: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.join(whole).join(between).select((F.col("mean") / (F.col("all") + 1e-12) + F.col("dens")).alias("s_dbw"))
 
 
+def adjusted_rand_by(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, ari) of two labels of the same rows in each group of `by`; 1 where both are trivial in the same way."""
+    two = lambda n: n * (n - 1) / 2
+    cells = pairs.groupBy(*by, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count(F.lit(1)).alias("n"))
+
+    def margin(label: str, name: str) -> DataFrame:
+        return cells.groupBy(*by, label).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias(name))
+
+    j = cells.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("x"), F.sum("n").alias("all"))
+    for label, name in (("__a", "r"), ("__b", "c")):
+        j = j.join(margin(label, name), by) if by else j.crossJoin(margin(label, name))  # one row each
+    e = F.try_divide(F.col("r") * F.col("c"), two(F.col("all")))
+    return j.select(*by, F.coalesce(F.try_divide(F.col("x") - e, (F.col("r") + F.col("c")) / 2 - e), F.lit(1.0)).alias("ari"))
+
+
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(ari) of two labels of the same rows; 1 where both are trivial in the same way."""
-    two = lambda n: n * (n - 1) / 2
-    n = F.count(F.lit(1)).alias("n")
-    cell = pairs.groupBy(a, b).agg(n).agg(F.sum(two(F.col("n"))).alias("x"), F.sum("n").alias("all"))
-    rows = pairs.groupBy(a).agg(n).agg(F.sum(two(F.col("n"))).alias("r"))
-    cols = pairs.groupBy(b).agg(n).agg(F.sum(two(F.col("n"))).alias("c"))
-    e = F.col("r") * F.col("c") / two(F.col("all"))
-    return cell.join(rows).join(cols).select(F.coalesce(F.try_divide(F.col("x") - e, (F.col("r") + F.col("c")) / 2 - e), F.lit(1.0)).alias("ari"))
+    return adjusted_rand_by(pairs, [], a, b)
 
 
 def permutation_z(spark, statistic, labels: np.ndarray, permutations: int = 40, seed: int = 0) -> DataFrame:

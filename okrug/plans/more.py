@@ -74,42 +74,69 @@ def v12_alpha_sensitivity(spark, sf):
     return _fan_out(spark, len(alphas), "alpha double, node int, cluster int", one)
 
 
+def _co_assignment(spark, names, w, labels, replicates: int, share: float, k: int):
+    """(a, b, together) for each replicate and pair of nodes drawn in it, and (id, ari) of its labels against `labels`: which nodes a replicate holds is told by the least random keys."""
+    size = max(k + 1, round(share * len(names)))
+
+    def drawn(i):
+        keys = np.random.default_rng(np.random.SeedSequence(7, spawn_key=(i,))).random(len(names))
+        held = np.flatnonzero(keys <= np.partition(keys, size - 1)[size - 1])
+        return held, X.spectral(w[np.ix_(held, held)], k)
+
+    def pairs(i):
+        held, own = drawn(i)
+        return [(int(names[x]), int(names[y]), bool(own[p] == own[q]), bool(labels[x] == labels[y])) for p, x in enumerate(held) for q, y in enumerate(held) if p != q]
+
+    def agreement(i):
+        held, own = drawn(i)
+        return [(i, X.rand_index(labels[held], own))]
+
+    return _fan_out(spark, replicates, "a int, b int, together boolean, same boolean", pairs), _fan_out(spark, replicates, "id int, ari double", agreement)
+
+
 @query()
 def v14_bootstrap(spark, sf):
-    """Share of the replicates on 80 % of the nodes in which two nodes of one type stay together; pairs of a node with itself don't count."""
+    """Per node, over 200 replicates on 80 % of the nodes, how often others of its type stay with it (not counting itself), and the mean agreement of the replicates with the whole."""
     names, w = G.dense(Q._net(spark, sf))
-    final, n = X.spectral(w.copy(), 5), len(names)
+    pairs, agreement = _co_assignment(spark, names, w, X.spectral(w.copy(), 5), 200, 0.8, 5)
+    stay = pairs.where("same").groupBy("a", "b").agg(F.avg(F.col("together").cast("double")).alias("p"))
+    mean = agreement.agg(F.round(F.avg("ari"), 6).alias("mean_ari"))
+    return stay.groupBy(F.col("a").alias("node")).agg(F.round(F.avg("p"), 6).alias("stability")).join(F.broadcast(mean))
 
-    def one(i):
-        s = np.sort(np.random.default_rng([42, i]).choice(n, max(6, int(0.8 * n)), replace=False))
-        lab = X.spectral(w[np.ix_(s, s)], 5)
-        return [(int(names[s[a]]), int(names[s[b]]), bool(lab[a] == lab[b])) for a in range(len(s)) for b in range(len(s)) if a != b and final[s[a]] == final[s[b]]]
 
-    pairs = _fan_out(spark, 100, "a int, b int, together boolean", one).groupBy("a", "b").agg(F.avg(F.col("together").cast("double")).alias("p"))
-    return pairs.groupBy(F.col("a").alias("node")).agg(F.round(F.avg("p"), 6).alias("stability"))
+@query()
+def a22_co_assignment(spark, sf):
+    """The share of replicates in which two nodes have one type, of those that hold both."""
+    names, w = G.dense(Q._net(spark, sf))
+    pairs, _ = _co_assignment(spark, names, w, X.spectral(w.copy(), 5), 200, 0.8, 5)
+    return pairs.groupBy("a", "b").agg(F.round(F.avg(F.col("together").cast("double")), 6).alias("share"), F.count(F.lit(1)).alias("replicates"))
 
 
 @query()
 def v15_compactness(spark, sf):
-    """Mean distance within types against shuffled types."""
+    """Mean distance within types, from a table of distances, against shuffled types; pairs without a distance don't count."""
     names, w = G.dense(Q._net(spark, sf))
-    d = np.abs(np.array(names)[:, None] - np.array(names)[None]).astype(float)
+    road = {(x["src"], x["dst"]): x["w"] for x in n10_distances(spark, sf).collect()}  # pairs of a dimension whose size dense() has checked
+    d = np.array([[road.get((a, b)) or np.nan for b in names] for a in names], float)
 
     def closeness(lab):
-        return -float(np.mean([d[np.ix_(lab == c, lab == c)].sum() / max(1, (lab == c).sum() * ((lab == c).sum() - 1)) for c in np.unique(lab)]))
+        inside = [np.nanmean(x) for c in np.unique(lab) if np.isfinite(x := d[np.ix_(lab == c, lab == c)]).any()]
+        return -float(np.mean(inside)) if inside else 0.0
 
     return V.permutation_z(spark, closeness, X.ward(w, 5), 1000)
 
 
+def n10_distances(spark, sf):
+    """Distances of entities as an input: the mean price of what they trade stands in for kilometres."""
+    roads = contracts(spark, sf).groupBy(F.col("supplier_mo").alias("src"), F.col("customer_mo").alias("dst")).agg(F.avg("price").alias("w"), F.lit("road").alias("type"))
+    return N.road_distance(roads, load(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), "road")
+
+
 @query()
 def v9_select_k(spark, sf):
     """The k whose modularity stands out most from shuffled labels, among those whose least cluster has two nodes."""
     names, w = G.dense(Q._net(spark, sf))
-    deg, m2 = w.sum(1), w.sum()
-
-    def q(lab):
-        same = lab[:, None] == lab[None]
-        return float(((w - np.outer(deg, deg) / m2) * same).sum() / m2)
+    q = lambda lab: X.modularity(w, lab)
 
     def one(i):
         lab, rng = X.ward(w, i + 3), np.random.default_rng([0, i])
@@ -149,8 +176,8 @@ def t2_partial_rank(spark, sf):
 @query(f"""WITH {Q.EMB}, f AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e), g AS (SELECT DISTINCT label AS type FROM e) SELECT type, CAST(pos - 1 AS INT) AS feature, round(median(x) FILTER (label = type) - median(x) FILTER (label <> type), 5) AS effect FROM f, g GROUP BY 1, 2""")
 def m3_type_signature(spark, sf):
     f = Q._points(spark, sf).select("label", F.posexplode("v").alias("feature", "x"))
-    types = Q._points(spark, sf).select(F.col("label").alias("type")).distinct()
-    met = f.join(F.broadcast(types))  # types are few
+    types = V.few(Q._points(spark, sf).select(F.col("label").alias("type")).distinct())
+    met = f.join(types)
     med = met.groupBy("type", "feature").agg(F.median(F.when(F.col("label") == F.col("type"), F.col("x"))).alias("i"), F.median(F.when(F.col("label") != F.col("type"), F.col("x"))).alias("o"))
     return med.select("type", "feature", F.round(F.col("i") - F.col("o"), 5).alias("effect"))
 

@@ -112,10 +112,13 @@ def g3_degrees(spark, sf):
     return G.degrees(_net(spark, sf)).select("node", r("degree", 6), "neighbours")
 
 
-@query(f"""WITH RECURSIVE {K}, f AS (SELECT supplier_mo AS src, customer_mo AS dst, sum(price) AS w FROM k WHERE supplier_mo <> customer_mo GROUP BY 1, 2), s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS s FROM f), nodes AS (SELECT src AS node FROM f UNION SELECT dst FROM f), c AS (SELECT count(*) AS n FROM nodes),
- {', '.join(f"r{i} AS (SELECT node, 0.15 / n + 0.85 * (coalesce(g, 0) + (1 - (SELECT sum(x.rank * s) FROM r{i - 1} x JOIN s ON s.src = x.node)) / n) AS rank FROM nodes JOIN c ON true LEFT JOIN (SELECT dst, sum(x.rank * s) AS g FROM r{i - 1} x JOIN s ON s.src = x.node GROUP BY 1) ON dst = node)" if i else "r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, c)" for i in range(6))} SELECT node, round(rank, 6) AS rank FROM r5""")
+@query(f"""WITH RECURSIVE {K}, f AS (SELECT customer_mo AS src, supplier_mo AS dst, sum(price) AS w FROM k WHERE supplier_mo <> customer_mo GROUP BY 1, 2), s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS s FROM f), nodes AS (SELECT src AS node FROM f UNION SELECT dst FROM f), c AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+ m AS (SELECT a.node AS src, b.node AS dst, 0.15 / n + 0.85 * CASE WHEN a.node IN (SELECT src FROM s) THEN coalesce(s, 0) ELSE 1 / n END AS p FROM nodes a JOIN nodes b ON true JOIN c ON true LEFT JOIN s ON s.src = a.node AND s.dst = b.node),
+ r AS (SELECT 0 AS i, node, 1 / n AS rank FROM nodes, c UNION ALL SELECT i + 1, m.dst, sum(m.p * r.rank) FROM r JOIN m ON m.src = r.node WHERE i < 150 GROUP BY i, m.dst) SELECT node, round(rank, 6) AS rank FROM r WHERE i = 150""")
 def g1_pagerank(spark, sf):
-    return G.pagerank(_flows(spark, sf).where("src <> dst")).select("node", r("rank", 6))
+    """Money flows from customers to their suppliers."""
+    paid = _flows(spark, sf).where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    return G.pagerank(paid).select("node", r("rank", 6))
 
 
 @query()
@@ -311,8 +314,8 @@ def d1_evolution(spark, sf):
     return spark.createDataFrame(rows, "year int, node int, cluster int")
 
 
-@query("""WITH q AS (SELECT c_nationkey AS mo, year(o_orderdate) AS y, arg_max(o_orderpriority, o_totalprice) AS label FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), x AS (SELECT mo, y, label, lead(label) OVER (PARTITION BY mo ORDER BY y) AS nxt FROM q), t AS (SELECT label AS a, nxt AS b, count(*) AS n FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2) SELECT round(coalesce(sum(n) FILTER (a = b), 0) / sum(n), 6) AS stay, CAST(sum(n) AS BIGINT) AS moves FROM t""")
+@query("""WITH q AS (SELECT c_nationkey AS mo, year(o_orderdate) AS y, first(o_orderpriority ORDER BY o_totalprice DESC, o_orderkey DESC) AS label FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), x AS (SELECT mo, y, label, lead(label) OVER (PARTITION BY mo ORDER BY y) AS nxt FROM q), t AS (SELECT label AS a, nxt AS b, count(*) AS n FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2) SELECT round(coalesce(sum(n) FILTER (a = b), 0) / sum(n), 6) AS stay, CAST(sum(n) AS BIGINT) AS moves FROM t""")
 def s8_stay_share(spark, sf):
-    q = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("mo"), F.year("o_orderdate").alias("y")).agg(F.max_by("o_orderpriority", "o_totalprice").alias("label"))
+    q = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("mo"), F.year("o_orderdate").alias("y")).agg(F.max_by("o_orderpriority", F.struct("o_totalprice", "o_orderkey")).alias("label"))
     t = P.transitions(q, "mo", "y", "label")
     return t.agg(F.round(F.coalesce(F.sum(F.when(F.col("from_label") == F.col("to_label"), F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("stay"), F.sum("n").alias("moves"))

@@ -61,7 +61,10 @@ def html_rows(pages: DataFrame, html: str, cells: int) -> DataFrame:
 
 
 def text_table(lines: DataFrame, line: str, numbers: int) -> DataFrame:
-    """(name, values): lines that are a name followed by exactly `numbers` numbers, as laid-out text tables have them."""
+    """(name, values): lines that are a name followed by exactly `numbers` numbers, as laid-out text tables have them.
+
+    One blank between a number and three digits parts its thousands; wider gaps part columns.
+    """
     number = r"-?\d[\d ]*(?:[.,]\d+)?"
     found = F.regexp_extract_all(F.col(line), F.lit(rf"(?<=\s)({number})(?=\s|$)"), F.lit(1))
     name = F.trim(F.regexp_extract(F.col(line), rf"^(.*?\p{{L}}[^0-9]*?)\s+{number}(?=\s|$)", 1))
@@ -69,6 +72,18 @@ def text_table(lines: DataFrame, line: str, numbers: int) -> DataFrame:
     return lines.select(name.alias("name"), values.alias("values")).where((F.size("values") == numbers) & (F.col("name") != ""))
 
 
+def totals_of_places(rows: DataFrame, code: str, name: str) -> DataFrame:
+    """The rows of whole municipalities: their codes end with five zeros and their names are of no settlement."""
+    return rows.where(F.col(code).endswith("00000") & ~F.lower(name).contains("поселение"))
+
+
+def run_sql(spark: SparkSession, tables: dict[str, DataFrame], text: str) -> DataFrame:
+    """The result of a SQL text over named frames, which become views of the session."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
 def table_sizes(spark: SparkSession) -> DataFrame:
     """(name, rows) of the catalog's tables and views."""
     names = [t.name for t in spark.catalog.listTables()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,13 @@ def replace_table(df: DataFrame, path: str, compression: str = "zstd") -> None:
 
 
 def create_table(df: DataFrame, path: str) -> int:
-    """Parquet that must not exist yet; read again and counted, so that a write that lost rows raises. The number of rows."""
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    """Parquet that must not exist yet; the rows that were written are counted as they pass and as they are read again, and another number raises. The number of rows."""
+    passed = Observation()
+    df.observe(passed, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
+    n = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    if n != passed.get["n"]:
+        raise RuntimeError(f"{n} rows in {path}, {passed.get['n']} were written")
+    return n
 
 
 def write_parts(df: DataFrame, path: str, rows_a_file: int = 50_000, delimiter: str = ";") -> None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 
@@ -34,3 +35,18 @@ def smoothed(events: DataFrame, key: str, value: str, beta: float = 0.5) -> Data
         yield pd.DataFrame({key: [k[0]], "n": [n], "state": [s]})
 
     return events.select(key, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint, state double", "n bigint, s double", "update", "NoTimeout")
+
+
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
+    """The parquet files below `path` as a stream that takes `files` of them a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Reads what is there, batch by batch, and stops; the rows written to `path` so far, with the number `batch` of theirs.
+
+    The checkpoint below `path` remembers what was read, so that a later run takes new files only. A batch is written to a folder of its own, which a batch that is
+    tried again replaces, so that rows come once even if executors are lost.
+    """
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")).start().awaitTermination()
+    return stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
