@@ -65,10 +65,10 @@ def text_table(lines: DataFrame, line: str, numbers: int) -> DataFrame:
 
     One blank between a number and three digits parts its thousands; wider gaps part columns.
     """
-    number = r"-?\d[\d ]*(?:[.,]\d+)?"
+    number = r"-?(?:\d{1,3}(?:[ \u00a0]\d{3})+|\d+)(?:[.,]\d+)?"
     found = F.regexp_extract_all(F.col(line), F.lit(rf"(?<=\s)({number})(?=\s|$)"), F.lit(1))
     name = F.trim(F.regexp_extract(F.col(line), rf"^(.*?\p{{L}}[^0-9]*?)\s+{number}(?=\s|$)", 1))
-    values = F.transform(found, lambda x: F.translate(F.regexp_replace(x, r"[\s ]", ""), ",", ".").try_cast("double"))
+    values = F.transform(found, lambda x: F.translate(F.regexp_replace(x, r"[\s\u00a0]", ""), ",", ".").try_cast("double"))
     return lines.select(name.alias("name"), values.alias("values")).where((F.size("values") == numbers) & (F.col("name") != ""))
 
 
