@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -61,21 +61,43 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+class Word:
+    """A word to compare with others: its edits to another, a swap of neighbours being one, by bit-parallel columns (Hyyro's form of Myers' method)."""
+
+    def __init__(self, text: str):
+        self.text, self.places = text, {}
+        for k, c in enumerate(text):
+            self.places[c] = self.places.get(c, 0) | 1 << k
+        self.full, self.last = (1 << len(text)) - 1, 1 << len(text) >> 1
+
+    def edits(self, other: str, most: int) -> int:
+        """Edits to `other`; most + 1 if there are more."""
+        score, n = len(self.text), len(other)
+        if abs(score - n) > most:
+            return most + 1
+        if not score:
+            return n
+        full, last, places = self.full, self.last, self.places
+        up, down, diagonal, before = full, 0, 0, 0
+        for k, c in enumerate(other, 1):
+            here = places.get(c, 0)
+            swap = ((~diagonal & here) << 1) & before
+            diagonal = ((((here & up) + up) ^ up) | here | down | swap) & full
+            right, left = (down | ~(diagonal | up)) & full, diagonal & up
+            if right & last:
+                score += 1
+            elif left & last:
+                score -= 1
+            if score - (n - k) > most:
+                return most + 1
+            right = (right << 1 | 1) & full
+            up, down, before = (left << 1 | ~(diagonal | right)) & full, right & diagonal, here
+        return score if score <= most else most + 1
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edits between two words, a swap of neighbours being one; most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row[j] = best
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+    return Word(a).edits(b, most)
 
 
 def _bigrams(word: str) -> list[str]:
@@ -105,23 +127,28 @@ class Canon:
                 self.automaton.add_word(f" {alias} ", (len(alias) + 2, name))
         if names:
             self.automaton.make_automaton()
-        self.index: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
-        for name in names:
-            base = [w for w in name.split() if w not in self.modifiers] or name.split()
-            for form in {"".join(base), transliterated("".join(base))}:
-                for gram in set(_bigrams(form)):
-                    self.index[gram].append((form, name))
+        bases = {n: [w for w in n.split() if w not in self.modifiers] or n.split() for n in names}
+        self.index = self._indexed(("".join(base), name) for name, base in bases.items())
         #: names by their words without modifiers, and an index of the words' bigrams
-        self.bases = {n: [w for w in n.split() if w not in self.modifiers] or n.split() for n in names}
+        self.bases = bases
         self.holders: dict[str, list[str]] = defaultdict(list)
         for name, base in self.bases.items():
             for w in set(base):
                 self.holders[w].append(name)
-        self.word_index: dict[str, list[tuple[str, str]]] = defaultdict(list)
-        for w in self.holders:
-            for form in {w, transliterated(w)}:
-                for gram in set(_bigrams(form)):
-                    self.word_index[gram].append((form, w))
+        self.word_index = self._indexed((w, w) for w in self.holders)
+        self.spelt = [(m, transliterated(m)) for m in sorted(self.modifiers)]
+        self._known: dict[str, tuple[float, str] | None] = {}
+
+    @staticmethod
+    def _indexed(entries: Iterable[tuple[str, str]]) -> dict[str, list[tuple[str, str, int]]]:
+        """(form, entry, number of bigrams) by bigram, of each form and its transliteration."""
+        index: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
+        for form, entry in entries:
+            for spelling in {form, transliterated(form)}:
+                grams = set(_bigrams(spelling))
+                for gram in grams:
+                    index[gram].append((spelling, entry, len(grams)))
+        return dict(index)
 
     def mentions(self, words: list[str]) -> list[str]:
         """Names that stand in the words: the longest match wins, and matches don't overlap."""
@@ -137,30 +164,37 @@ class Canon:
             return []  # another place of the same base
         return [name for _, _, name in sorted(found)]
 
-    def _near(self, text: str, index: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[float, str]]:
+    def _near(self, text: str, index: dict[str, list[tuple[str, str, int]]]) -> Iterator[tuple[float, str]]:
         """(similarity, entry) of the entries of an index whose form is similar enough to `text`, the similarity being 1 - edits / length."""
-        counts: dict[tuple[str, str], int] = defaultdict(int)
-        for gram in set(_bigrams(text)):
-            for entry in index.get(gram, ()):
-                counts[entry] += 1
-        for (form, name), shared in counts.items():
-            longest = max(len(form), len(text))
+        counts = Counter(entry for gram in set(_bigrams(text)) for entry in index.get(gram, ()))
+        word, n = Word(text), len(text)
+        for (form, name, grams), shared in counts.items():
+            longest = max(len(form), n)
             most = int((1 - self.similarity) * longest + 1e-9)
             # an edit breaks at most three bigrams, so that fewer in common rule a name out
-            if shared < len(set(_bigrams(form))) - 3 * most or abs(len(form) - len(text)) > most:
+            if shared < grams - 3 * most or abs(len(form) - n) > most:
                 continue
-            edits = distance(text, form, most)
+            edits = word.edits(form, most)
             if edits <= most:
                 yield 1 - edits / longest, name
 
     def _modifier(self, word: str) -> tuple[float, str] | None:
         """(similarity, modifier) of the modifier that a word is, with a slip or two."""
+        if word not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[word] = self._read_modifier(word)
+        return self._known[word]
+
+    def _read_modifier(self, word: str) -> tuple[float, str] | None:
         if word in self.modifiers:
             return 1.0, word
-        for m in sorted(self.modifiers):
-            if word.isascii() and transliterated(m) == word:
+        typed, latin = Word(word), word.isascii()
+        for m, spelt in self.spelt:
+            if latin and spelt == word:
                 return 1.0, m
-            if len(word) > 3 and (edits := distance(word, m, 2)) <= (1 if len(m) < 7 else 2):
+            most = 1 if len(m) < 7 else 2
+            if len(word) > 3 and (edits := typed.edits(m, most)) <= most:
                 return 1 - edits / max(len(word), len(m)), m
         return None
 

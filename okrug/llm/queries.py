@@ -61,8 +61,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that a limit of purpose `split` divides."""
-    cut = split_documents(load(spark, sf_dir, "documents"), _limits(spark, sf_dir, "split"), with_text=False)
-    return cut.where("piece_no = 1").select("limit_id", "doc_id")
+    return p10_pieces(spark, sf_dir).where("piece_no = 1").select("limit_id", "doc_id")
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
