@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from okrug.operators.hotjoin import join_dictionary
 from okrug.session import written
 
 
@@ -16,9 +17,10 @@ def period(date: Column | str, kind: str) -> Column:
     return F.date_format(d, {"M": "yyyy-MM", "Y": "yyyy"}[kind])
 
 
-def masked_sums(df: DataFrame, keys: list[str], amount: str, masks: dict[str, Column]) -> DataFrame:
-    """Per key the sum of `amount` under each condition; a sum without any row is 0, a null condition is false."""
-    return df.groupBy(*keys).agg(*[F.sum(F.when(F.coalesce(cond, F.lit(False)), F.col(amount)).otherwise(0)).alias(name) for name, cond in masks.items()])
+def masked_sums(df: DataFrame, keys: list[str], amount: str, masks: dict[str, Column], count: str | None = None) -> DataFrame:
+    """Per key the sum of `amount` under each condition, and the rows as `count` if that is named; a sum without any row is 0, a null condition is false."""
+    rows = [F.count(F.lit(1)).alias(count)] if count else []
+    return df.groupBy(*keys).agg(*[F.sum(F.when(F.coalesce(cond, F.lit(False)), F.col(amount)).otherwise(0)).alias(name) for name, cond in masks.items()], *rows)
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -78,23 +80,45 @@ def average_rank(df: DataFrame, by: list[str], value: str, target: str) -> DataF
     return df.withColumn(target, F.when(known, rank + (ties - 1) / 2))
 
 
-def smaller_values(df: DataFrame, value: str, cuts: int = 256) -> DataFrame:
-    """(value, n, below, total): each distinct non-null value, its rows, the rows with smaller values, and all rows.
+def smaller_values(df: DataFrame, value: str, cuts: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, value, n, below, total): each distinct non-null value of a group, its rows, the group's rows with smaller values, and all rows of the group.
 
-    A rank over a whole table without a window over a whole table: distinct values are dealt to ranges by approximate quantiles (equal
-    values share a range, so the result is exact), ranges are counted, and running sums stay within a range.
+    Ranks without a window over a whole group: distinct values are dealt to ranges by approximate quantiles of all (equal
+    values share a range, so the result is exact), the ranges of a group are counted, and running sums stay within a range.
     """
-    values = written(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), "values")
+    values = written(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "values")
     edges = sorted(set(values.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / cuts for k in range(1, cuts)], 0.001)))
     dealt = values.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(value).cast("double"))) if edges else F.lit(0))
-    sums = {x["__range"]: x["n"] for x in dealt.groupBy("__range").agg(F.sum("n").alias("n")).collect()}  # at most `cuts` rows
-    before, total = [], 0
-    for k in range(len(edges) + 1):
-        before.append(total)
-        total += sums.get(k, 0)
-    w = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(w), F.lit(0)) + F.get(F.array(*[F.lit(x).cast("bigint") for x in before]), F.col("__range"))
-    return dealt.select(value, "n", below.alias("below"), F.lit(total).cast("bigint").alias("total"))
+    whole = Window.partitionBy(*by)  # over at most `cuts` rows a group
+    sums = dealt.groupBy(*by, "__range").agg(F.sum("n").alias("__sum"))
+    sums = sums.select(*by, "__range", (F.sum("__sum").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"), F.sum("__sum").over(whole).alias("total"))
+    w = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("__inside", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return inside.join(sums, [*by, "__range"]).select(*by, value, "n", (F.col("__inside") + F.col("__before")).alias("below"), "total")
+
+
+def wide_rank(df: DataFrame, by: list[str], value: str, target: str, percent: bool = False) -> DataFrame:
+    """As average_rank() or rank_percent(), for groups of any size: no task sorts more of a group than one range of its distinct values; rows with a null group have no rank.
+
+    Values that many rows share are joined back by broadcast, as hot keys are.
+    """
+    ranks = smaller_values(df, value, by=tuple(by))
+    rank = F.col("below") + (F.col("n") + 1) / 2
+    known = written(ranks.select(*by, value, (rank / F.col("total") * 100 if percent else rank).alias(target), F.col("n").alias("__n")), "ranks")
+    return join_dictionary(df.drop(target), known, [*by, value])
+
+
+def wide_quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """As quartiles(), for groups of any number of distinct values: exact, interpolated, from ranks by ranges."""
+    v = written(smaller_values(df, value, by=tuple(by)), "ranked-values")
+    at = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(value)))
+    picked = {}
+    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        h = (F.col("total") - 1) * q
+        picked |= {f"__{name}_lo": at(F.floor(h)), f"__{name}_hi": at(F.ceil(h)), f"__{name}_part": F.max(h - F.floor(h))}
+    g = v.groupBy(*by).agg(F.max("total").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), *[c.alias(k) for k, c in picked.items()])
+    between = lambda name: (F.col(f"__{name}_lo") + (F.col(f"__{name}_hi") - F.col(f"__{name}_lo")) * F.col(f"__{name}_part")).alias(name)
+    return g.select(*by, "n", "min", between("q1"), between("median"), between("q3"), "max")
 
 
 def nearest_value(points: DataFrame, anchors: DataFrame, by: str, value: str, key: str, anchor: str) -> DataFrame:

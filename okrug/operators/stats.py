@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from okrug.operators.kernels import chi2_upper, t_two_sided
 from okrug.operators.network import correlation_from_sums
-from okrug.operators.panel import average_rank, false_discovery
+from okrug.operators.panel import average_rank, false_discovery, wide_rank
 
 
 @F.pandas_udf(DoubleType())
@@ -58,7 +58,7 @@ def lagged_correlation(series: DataFrame, entity: str, ordinal: str, x: str, y:
 
 def kruskal_wallis(long: DataFrame, metric: str, group: str, value: str) -> DataFrame:
     """(metric, n, h, epsilon2, p, q): tie-corrected H over groups."""
-    known = average_rank(long.where(F.col(value).isNotNull() & F.col(group).isNotNull()), [metric], value, "__r")
+    known = wide_rank(long.where(F.col(metric).isNotNull() & F.col(value).isNotNull() & F.col(group).isNotNull()), [metric], value, "__r")
     per = known.groupBy(metric, group).agg(F.sum("__r").alias("s"), F.count(F.lit(1)).alias("c"))
     h = per.groupBy(metric).agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("ss"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("g"))
     ties = known.groupBy(metric, value).agg(F.count(F.lit(1)).cast("double").alias("t")).groupBy(metric).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))

@@ -211,7 +211,7 @@ def v8_permutation_null(spark, sf):
 @query(f"""WITH q AS (SELECT c_mktsegment AS type, median(c_acctbal) AS m FROM customer GROUP BY 1), a AS (SELECT median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM customer) SELECT type, round((q.m - a.m) / iqr, 6) AS effect FROM q, a""")
 def v16_type_signature(spark, sf):
     c = load(spark, sf, "customer")
-    whole = P.quartiles(c.withColumn("all", F.lit(1)), ["all"], "c_acctbal").select(F.col("median").alias("m"), (F.col("q3") - F.col("q1")).alias("iqr"))
+    whole = P.wide_quartiles(c, [], "c_acctbal").select(F.col("median").alias("m"), (F.col("q3") - F.col("q1")).alias("iqr"))
     return c.groupBy(F.col("c_mktsegment").alias("type")).agg(F.median("c_acctbal").alias("t")).join(F.broadcast(whole)).select("type", F.round((F.col("t") - F.col("m")) / F.col("iqr"), 6).alias("effect"))
 
 
@@ -219,7 +219,7 @@ def v16_type_signature(spark, sf):
 @query("""WITH q AS (SELECT median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS i FROM customer) SELECT c_custkey AS id, round(least(4.0, greatest(-4.0, (c_acctbal - m) / i)), 6) AS x FROM customer, q""")
 def x2_robust_scale(spark, sf):
     c = load(spark, sf, "customer")
-    q = P.quartiles(c.withColumn("all", F.lit(1)), ["all"], "c_acctbal")
+    q = P.wide_quartiles(c, [], "c_acctbal")
     x = (F.col("c_acctbal") - F.col("median")) / (F.col("q3") - F.col("q1"))
     return c.join(F.broadcast(q)).select(F.col("c_custkey").alias("id"), F.round(F.least(F.lit(4.0), F.greatest(F.lit(-4.0), x)), 6).alias("x"))
 
@@ -262,16 +262,6 @@ def t7_nearest_centroid(spark, sf):
     return p.join(said, "vec_id").groupBy(held.alias("held_out")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("said")).cast("double")), 6).alias("accuracy"))
 
 
-@query()
-def m1_random_forest(spark, sf):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    p = _points(spark, sf).select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector("v").alias("features"))
-    model = RandomForestClassifier(numTrees=50, seed=42, maxDepth=8).fit(p)
-    return model.transform(p).select("vec_id", "label", "prediction", F.array_max(vector_to_array("probability")).alias("confidence"))
-
-
 @query(f"""WITH {EMB}, d AS (SELECT a.vec_id, b.vec_id AS analog, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, analog) AS INT) AS rank FROM d) SELECT vec_id, analog, round(dist, 4) AS dist, rank FROM k WHERE rank <= 3""")
 def m4_analogs(spark, sf):
     p = _points(spark, sf)

@@ -183,6 +183,30 @@ def m1_held_out_forest(spark, sf):
     return said.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 6).alias("accuracy")).join(F.broadcast(top))
 
 
+@query()
+def m4_types_by_probability(spark, sf):
+    """Best and second type of each row by forests that have not seen it, and whether none has half of the probability (U12)."""
+    from pyspark.ml.functions import vector_to_array
+
+    p, vector = _features(spark, sf)
+    p = p.withColumn("features", vector("v"))
+    said = None
+    for f in range(5):
+        part = _forest(p.where(F.col("fold") != f)).transform(p.where(F.col("fold") == f)).select("vec_id", vector_to_array("probability").alias("p"))
+        said = part if said is None else said.unionByName(part)
+    ranked = F.reverse(F.array_sort(F.transform("p", lambda x, i: F.struct(x.alias("p"), (-i).alias("t")))))
+    top = said.select("vec_id", ranked.alias("k"))
+    return top.select("vec_id", (-F.get("k", F.lit(0)).t).alias("type"), (-F.get("k", F.lit(1)).t).alias("second_type"), (F.get("k", F.lit(0)).p < 0.5).alias("mixed"))
+
+
+@query()
+def m2_importances(spark, sf):
+    """Features by the forest's own importance."""
+    p, vector = _features(spark, sf)
+    model = _forest(p.withColumn("features", vector("v")))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())], "feature int, importance double")
+
+
 @query()
 def m2_permutation_importance(spark, sf):
     """Accuracy that is lost when one feature's values are dealt to other rows, on rows the forest has not seen; five deals of each feature, in one pass of the model."""

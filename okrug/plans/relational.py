@@ -20,9 +20,7 @@ QTR = "CAST(year(d) AS VARCHAR) || 'Q' || CAST(quarter(d) AS VARCHAR)"
  round(sum(CASE WHEN customer_mo = supplier_mo THEN price ELSE 0 END), 2) AS local_volume, round(sum(CASE WHEN segment = 'MACHINERY' AND customer_mo = 0 THEN 0 ELSE price END), 2) AS municipal_volume, count(*) AS n FROM k GROUP BY 1, 2""")
 def a1_panel_sums(spark, sf):
     k = contracts(spark, sf).withColumn("period", P.period("d", "Q")).withColumnRenamed("customer_mo", "mo")
-    sums = P.masked_sums(k, ["mo", "period"], "price", {"volume": F.lit(True), "single_volume": F.col("single_supplier"), "local_volume": F.col("mo") == F.col("supplier_mo"), "municipal_volume": ~((F.col("segment") == "MACHINERY") & (F.col("mo") == 0))})
-    n = k.groupBy("mo", "period").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(n, ["mo", "period"]).select("mo", "period", *[r(c, 2) for c in ("volume", "single_volume", "local_volume", "municipal_volume")], "n")
+    return P.masked_sums(k, ["mo", "period"], "price", {"volume": F.lit(True), "single_volume": F.col("single_supplier"), "local_volume": F.col("mo") == F.col("supplier_mo"), "municipal_volume": ~((F.col("segment") == "MACHINERY") & (F.col("mo") == 0))}, count="n").select("mo", "period", *[r(c, 2) for c in ("volume", "single_volume", "local_volume", "municipal_volume")], "n")
 
 
 @query(f"WITH {K}, p AS (SELECT customer_mo AS mo, {QTR} AS period, sum(price) AS v FROM k GROUP BY 1, 2) SELECT mo, round(avg(v), 2) AS mean_volume, count(*) AS periods FROM p GROUP BY 1")
@@ -124,9 +122,9 @@ def a20_multi_agg(spark, sf):
     return load(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("type")).agg(F.round(F.median("c_acctbal"), 4).alias("med"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.avg((F.col("c_acctbal") > 0).cast("double")), 6).alias("positive"))
 
 
-@query("SELECT c_nationkey AS mo, arg_max(c_custkey, abs(c_acctbal)) AS custkey, max(abs(c_acctbal)) AS most FROM customer GROUP BY 1")
+@query("SELECT c_nationkey AS mo, first(c_custkey ORDER BY abs(c_acctbal) DESC, c_custkey) AS custkey, max(abs(c_acctbal)) AS most FROM customer GROUP BY 1")
 def a21_argmax(spark, sf):
-    return load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("mo")).agg(F.max_by("c_custkey", F.abs("c_acctbal")).alias("custkey"), F.max(F.abs("c_acctbal")).alias("most"))
+    return load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("mo")).agg(F.max_by("c_custkey", F.struct(F.abs("c_acctbal"), -F.col("c_custkey"))).alias("custkey"), F.max(F.abs("c_acctbal")).alias("most"))
 
 
 @query(f"WITH {K} SELECT a.n_regionkey AS from_type, b.n_regionkey AS to_type, round(sum(price), 2) AS volume, count(*) AS n FROM k JOIN nation a ON a.n_nationkey = supplier_mo JOIN nation b ON b.n_nationkey = customer_mo GROUP BY 1, 2")
@@ -188,14 +186,14 @@ def w5_residual_z(spark, sf):
 @query("""WITH x AS (SELECT c_custkey AS id, c_mktsegment AS g, CASE WHEN c_acctbal < 0 THEN NULL ELSE floor(c_acctbal / 100) END AS v FROM customer) SELECT id, CASE WHEN v IS NOT NULL THEN round((rank() OVER (PARTITION BY g, v IS NULL ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0) / count(v) OVER (PARTITION BY g) * 100, 6) END AS pct FROM x""")
 def w7_rank_percent(spark, sf):
     x = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"), F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100)).alias("v"))
-    return P.rank_percent(x, ["g"], "v", "pct").select("id", r("pct", 6))
+    return P.wide_rank(x, ["g"], "v", "pct", percent=True).select("id", r("pct", 6))
 
 
 @query("""WITH x AS (SELECT s_suppkey AS id, s_acctbal AS a, s_nationkey AS b FROM supplier), k AS (SELECT id, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0) AS ra, (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) AS rb FROM x) SELECT id, round((ra + rb) / 2, 4) AS mean_rank FROM k""")
 def w8_mean_rank(spark, sf):
     # unpivoted, so that both metrics share one window
     x = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(F.create_map(F.lit("a"), F.col("s_acctbal"), F.lit("b"), F.col("s_nationkey").cast("double"))).alias("metric", "v"))
-    return P.average_rank(x, ["metric"], "v", "rank").groupBy("id").agg(F.round(F.avg("rank"), 4).alias("mean_rank"))
+    return P.wide_rank(x, ["metric"], "v", "rank").groupBy("id").agg(F.round(F.avg("rank"), 4).alias("mean_rank"))
 
 
 @query("""WITH p AS (SELECT vec_id AS id, label, (vec_id * 7919 % 1000 + 1) / 1001.0 AS p FROM embeddings), k AS (SELECT id, label, p, row_number() OVER (PARTITION BY label ORDER BY p, id) AS pos, count(*) OVER (PARTITION BY label) AS n FROM p)
