@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -75,6 +76,26 @@ class WuManber:
             at += 1
 
 
+def starts(texts: Iterable[tuple[object, str | None]], length: int) -> Iterator[tuple[tuple[str, ...], object]]:
+    """(run of words, item) of every run of `length` words of the texts."""
+    for item, text in texts:
+        w = words(text)
+        for k in range(len(w) - length + 1):
+            yield tuple(w[k : k + length]), item
+
+
+#: The index that this worker built last, with the name of its block.
+_built: dict[str, WuManber] = {}
+
+
+def _index(name: str, texts: list[tuple[object, str | None]], length: int) -> WuManber:
+    """The index of a block, built once by each worker process from the block's texts; only the last one is kept."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = WuManber(starts(texts, length), length)
+    return _built[name]
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, first_word, passages): each document that holds `min_words` consecutive words of an item.
 
@@ -82,7 +103,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN
     stated query set: they go to the executors in blocks of at most `block_chars` characters, each block against all
     documents, so that no table sent out grows with the data. Whole texts are searched. No shuffle.
 
-    Null and empty texts, and items of fewer words, have no rows; repeated documents each have theirs, as do repeated
+    Each worker builds the index of a block from its texts. Null and empty texts, and items of fewer words, have no rows; repeated documents each have theirs, as do repeated
     items; a row with a null id keeps it. Other columns are ignored.
     """
     spark = documents.sparkSession
@@ -95,14 +116,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == block).select(item_id, item_text)
-        strings = []
-        for item, body in part.toLocalIterator():
-            w = words(body)
-            strings += [(tuple(w[k : k + min_words]), item) for k in range(len(w) - min_words + 1)]
-        shared = spark.sparkContext.broadcast(WuManber(strings, min_words))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            search = shared.value.search
+        # the texts of a block, whose size is bounded; what is made of them is made on the executors
+        shared, name = spark.sparkContext.broadcast([(item, body) for item, body in part.collect()]), uuid.uuid4().hex
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            search = _index(name, shared.value, min_words).search
             for batch in batches:
                 rows = []
                 for doc, body in zip(batch["doc_id"], batch["text"]):
