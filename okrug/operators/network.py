@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from okrug.session import written
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Edges and their reverses."""
@@ -144,3 +146,43 @@ def leaders(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("back"))
     both = edges.join(back, ["src", "dst"], "left").withColumn("lead", F.col("w") - F.coalesce("back", F.lit(0.0)))
     return both.where("lead > 0").select(F.col("src").alias("leader"), F.col("dst").alias("follower"), "lead", "lag")
+
+
+def shown_edges(edges: DataFrame, least: float, selected: list | None = None, direction: str = "both", most: int | None = None, log: bool = False) -> DataFrame:
+    """Edges (src, dst, w) from the percentile `least` of all weights (or their logarithms) on, that leave (`out`), reach (`in`) or touch a selected node, the heaviest `most` of them with their `place`."""
+    x = F.log10("w") if log else F.col("w")
+    bound = edges.agg(F.percentile(x, F.lit(least)).alias("__least"))
+    kept = edges.join(F.broadcast(bound)).where(x >= F.col("__least")).drop("__least")
+    if selected is not None:
+        out, into = F.col("src").isin(selected), F.col("dst").isin(selected)
+        kept = kept.where({"out": out, "in": into, "both": out | into}[direction])
+    order = [F.col("w").desc(), F.col("src"), F.col("dst")]
+    if most is not None:  # what is numbered in one task is as short as what is shown
+        kept = kept.orderBy(*order).limit(most)
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def name_ratios(left: DataFrame, a: str, x: str, right: DataFrame, b: str, y: str, least: float, most: int = 10_000) -> DataFrame:
+    """(a, b, ratio) of pairs of names whose ratio, 1 - edits / longer length, is `least` or more; lists of at most `most` names, the right one of which is sent out."""
+    for df in (left, right):
+        if df.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} names")
+    longer = F.greatest(F.length(x), F.length(y))
+    near = left.where(F.length(x) > 0).select(a, x).join(F.broadcast(right.where(F.length(y) > 0).select(b, y)), F.least(F.length(x), F.length(y)) >= least * longer)
+    return near.withColumn("ratio", 1 - F.levenshtein(x, y) / longer).where(F.col("ratio") >= least).select(F.col(a).alias("a"), F.col(b).alias("b"), "ratio")
+
+
+def greedy_pairs(scores: DataFrame) -> DataFrame:
+    """(a, b, ratio): pairs one to one, the best first; ties go to the lesser a, then the lesser b.
+
+    Pairs that are the best for both of their ends are taken, and their ends with them, until none is left: the same as taking one pair after the other, in few rounds.
+    """
+    left, out = written(scores, "pairs-left"), None
+    while not left.isEmpty():
+        best = F.struct(-F.col("ratio"), F.col("a"), F.col("b"))
+        by_a = left.groupBy("a").agg(F.min(best).alias("m")).select("a", F.col("m.b").alias("b"))
+        by_b = left.groupBy("b").agg(F.min(best).alias("m")).select(F.col("m.a").alias("a"), "b")
+        taken = written(left.join(by_a, ["a", "b"], "left_semi").join(by_b, ["a", "b"], "left_semi"), "pairs-taken")
+        out = taken if out is None else out.unionByName(taken)
+        left = written(left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"), "pairs-left")
+    return out if out is not None else left

@@ -230,3 +230,28 @@ def index_parts(metrics: DataFrame, entity: str, indices: dict[str, dict[str, in
 def composed_indices(metrics: DataFrame, entity: str, indices: dict[str, dict[str, int]]) -> DataFrame:
     """(index, entity, score): the mean of the percent ranks that index_parts() gives; a missing metric is left out of the mean."""
     return index_parts(metrics, entity, indices).groupBy("index", entity).agg(F.avg("pct").alias("score"))
+
+
+def by_presets(df: DataFrame, key: str, presets: dict[str, tuple[tuple[str, str, float], ...]]) -> DataFrame:
+    """(preset, key) of the rows that fulfil all conditions (column, >= or <=, percentile) of a preset; percentiles are shares of smaller values among the others, in percent.
+
+    A missing value passes no condition. Presets are a few settings.
+    """
+    ranked = df
+    for c in sorted({c for conditions in presets.values() for c, _, _ in conditions}):
+        share = smaller_values(df, c).select(F.col(c).alias("__v"), F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1) * 100).otherwise(0.0).alias(f"__{c}"), F.col("n").alias("__n"))
+        ranked = join_dictionary(ranked.withColumn("__v", F.col(c)), written(share, "percentiles"), ["__v"]).drop("__v")
+    held = []
+    for name, conditions in presets.items():
+        whole = F.lit(True)
+        for c, op, at in conditions:
+            whole = whole & F.coalesce(F.col(f"__{c}") >= at if op == ">=" else F.col(f"__{c}") <= at, F.lit(False))
+        held.append(F.when(whole, F.lit(name)))
+    return ranked.select(F.explode(F.array_compact(F.array(*held))).alias("preset"), key)
+
+
+def coverage(df: DataFrame, entity: str, ordinal: str, value: str) -> DataFrame:
+    """(entity, covered, first, last, longest_gap, median, least, most): periods that an entity has, the longest run of missing ones between them, and its values' spread."""
+    gap = F.col(ordinal) - F.lag(ordinal).over(Window.partitionBy(entity).orderBy(ordinal)) - 1
+    g = df.withColumn("__gap", gap).groupBy(entity).agg(F.count(F.lit(1)).alias("covered"), F.min(ordinal).alias("first"), F.max(ordinal).alias("last"), F.coalesce(F.max("__gap"), F.lit(0)).alias("longest_gap"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return g

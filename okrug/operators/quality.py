@@ -71,6 +71,11 @@ def percentiles_hold(df: DataFrame, by: list[str], value: str, stored: str) -> D
     return again.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col(stored) - F.col("__pct")) > F.lit(50.0) / F.col("__n")).alias("off"))
 
 
+def missing_numbers(df: DataFrame, column: str, first: int, last: int) -> DataFrame:
+    """(number): the whole numbers from `first` to `last` that no row has."""
+    return df.sparkSession.range(first, last + 1).withColumnRenamed("id", "number").join(df.select(F.col(column).cast("bigint").alias("number")).distinct(), "number", "left_anti")
+
+
 def report(checks: list[DataFrame]) -> DataFrame:
     """All checks, with their verdicts."""
     return reduce(DataFrame.unionByName, checks).withColumn("verdict", F.when(F.col("bad") == 0, "PASS").otherwise("FAIL"))

@@ -9,6 +9,7 @@ from okrug.operators import panel as P
 from okrug.operators import quality as C
 from okrug.operators.timestamps import normalise_timestamps
 from okrug.plans.base import K, contracts, r, registry
+from okrug.plans.problem_sql import VALID
 from okrug.session import load
 
 QUERIES, ORACLE, query = registry()
@@ -17,7 +18,7 @@ CHECKED = """SELECT 'sources known' AS "check", count(*) FILTER (source_id NOT I
  UNION ALL SELECT 'row ids unique', count(*) FILTER (n > 1), count(*) FROM (SELECT count(*) AS n FROM msp_snapshot_rows GROUP BY row_id)
  UNION ALL SELECT 'negative prices', count(*) FILTER (price_kopecks < 0), count(*) FROM atmo_contract_observations
  UNION ALL SELECT 'one version an observation', count(*) FILTER (v > 1), count(*) FROM (SELECT count(DISTINCT coalesce(status_code, '-')) AS v FROM atmo_contract_observations GROUP BY api_contract_id)
- UNION ALL SELECT 'enrichment keeps rows', 0, count(*) FROM contracts_msp_enriched"""
+ UNION ALL SELECT 'enrichment keeps rows', abs((SELECT count(*) FROM contracts_msp_enriched) - (SELECT count(*) FROM contracts_msp_enriched k LEFT JOIN sources ON source_id = import_source_id)), (SELECT count(*) FROM contracts_msp_enriched)"""
 
 
 @query(f'SELECT "check", CAST(bad AS BIGINT) AS bad, CAST(total AS BIGINT) AS total, CASE WHEN bad = 0 THEN \'PASS\' ELSE \'FAIL\' END AS verdict FROM ({CHECKED})')
@@ -39,7 +40,7 @@ def k2_snapshot_counts(spark, sf):
     return load(spark, sf, "msp_snapshot_rows").groupBy("snapshot_date").agg(F.countDistinct("inn").alias("inns"), F.count(F.lit(1)).alias("n"), F.sum("inn_checksum_valid").alias("declared_valid"))
 
 
-@query()
+@query(f"SELECT inn_checksum_valid, count(*) AS n FROM (SELECT *, inn AS f FROM msp_snapshot_rows) WHERE CAST({VALID} AS INT) <> inn_checksum_valid GROUP BY 1")
 def k3_checksum_disagreements(spark, sf):
     """Rows whose stored checksum verdict isn't that of the number as it stands."""
     s = load(spark, sf, "msp_snapshot_rows")

@@ -200,3 +200,69 @@ def d3_adjacent_ari(spark, sf):
     q = P.keep_first(o, ["mo", "y"], [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("mo", "y", "label")
     later = q.select("mo", (F.col("y") - 1).alias("y"), F.col("label").alias("next"))
     return V.adjusted_rand_by(q.join(later, ["mo", "y"]), ["y"], "label", "next").select(F.col("y").alias("year"), r("ari", 6))
+
+
+# --- filters and lists of the dashboard -----------------------------------------------------------------------------------------------
+PRESETS = {"rich_newcomers": (("c_acctbal", ">=", 80), ("c_custkey", ">=", 60)), "poor_regulars": (("c_acctbal", "<=", 20), ("c_custkey", "<=", 40)), "middle": (("c_acctbal", ">=", 40), ("c_acctbal", "<=", 60))}
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, CASE WHEN c_acctbal IS NOT NULL THEN percent_rank() OVER (PARTITION BY c_acctbal IS NULL ORDER BY c_acctbal) * 100 END AS c_acctbal, percent_rank() OVER (ORDER BY c_custkey) * 100 AS c_custkey FROM (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer))
+ {' UNION ALL '.join(f"SELECT '{n}' AS preset, id FROM p WHERE {' AND '.join(f'{c} {op} {v}' for c, op, v in conditions)}" for n, conditions in PRESETS.items())}""")
+def f8_presets(spark, sf):
+    """Named filters of conditions on percentiles, all of which must hold; a missing value never passes."""
+    c = load(spark, sf, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")).alias("c_acctbal"))
+    return P.by_presets(c, "c_custkey", PRESETS).withColumnRenamed("c_custkey", "id")
+
+
+@query(f"WITH {K}, f AS (SELECT supplier_mo AS src, customer_mo AS dst, sum(price) AS w FROM k WHERE supplier_mo <> customer_mo GROUP BY 1, 2), t AS (SELECT quantile_cont(log10(w), 0.6) AS least FROM f) SELECT src, dst, round(w, 2) AS w, CAST(row_number() OVER (ORDER BY round(w, 2) DESC, src, dst) AS INT) AS place FROM f, t WHERE log10(w) >= least AND src IN (1, 2, 3) QUALIFY place <= 12")
+def f10_directed_edges(spark, sf):
+    """The heaviest edges out of chosen entities, above a percentile of the logarithms of all."""
+    f = Q._flows(spark, sf).where("src <> dst")
+    return N.shown_edges(f, 0.6, [1, 2, 3], "out", 12, log=True).select("src", "dst", r("w", 2), "place")
+
+
+@query("SELECT CAST(k AS BIGINT) AS number FROM (SELECT unnest(generate_series(1, 2000)) AS k) WHERE k NOT IN (SELECT CAST(floor(c_acctbal) AS BIGINT) FROM customer)")
+def a27_missing_numbers(spark, sf):
+    """The numbers of a range that no row has."""
+    return C.missing_numbers(load(spark, sf, "customer").withColumn("whole", F.floor("c_acctbal")), "whole", 1, 2000)
+
+
+@query("""WITH m AS (SELECT mo_id, year(published_at) * 12 + month(published_at) AS t, count(*) AS n FROM documents WHERE mo_id IS NOT NULL AND published_at IS NOT NULL GROUP BY 1, 2), g AS (SELECT *, t - lag(t) OVER (PARTITION BY mo_id ORDER BY t) - 1 AS gap FROM m) SELECT mo_id, count(*) AS covered, CAST(min(t) AS INT) AS first, CAST(max(t) AS INT) AS last, CAST(coalesce(max(gap), 0) AS INT) AS longest_gap, median(n) AS median, min(n) AS least, max(n) AS most FROM g GROUP BY 1""")
+def a25_month_coverage(spark, sf):
+    """Months with documents of each municipality, the longest gap between them, and what the months hold."""
+    d = load(spark, sf, "documents").where("mo_id IS NOT NULL AND published_at IS NOT NULL")
+    m = d.groupBy("mo_id", (F.year("published_at") * 12 + F.month("published_at")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return P.coverage(m, "mo_id", "t", "n")
+
+
+LONG_PART = "l AS (SELECT p_brand AS g, 'price' AS metric, floor(p_retailprice / 10) AS v FROM part UNION ALL SELECT p_brand, 'size', p_size FROM part)"
+
+
+@query(f"""WITH {LONG_PART}, k AS (SELECT metric, g, v, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0 AS r FROM l), p AS (SELECT metric, g, sum(r) AS s, count(*) AS c FROM k GROUP BY 1, 2), t AS (SELECT metric, sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT metric, count(*) AS c FROM l GROUP BY metric, v) GROUP BY 1), n AS (SELECT metric, CAST(sum(c) AS DOUBLE) AS n, sum(s * s / c) AS ss, count(*) AS g FROM p GROUP BY 1), h AS (SELECT n.metric, n, g, (12.0 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM n JOIN t ON t.metric = n.metric)
+ SELECT metric, CAST(n AS BIGINT) AS n, round(h, 5) AS h, round((h - g + 1) / (n - g), 6) AS epsilon2 FROM h""")
+def t6_external_checks(spark, sf):
+    """Whether columns that the types were not made of differ between them."""
+    p = load(spark, sf, "part")
+    long = p.select(F.col("p_brand").alias("g"), F.explode(F.create_map(F.lit("price"), F.floor(F.col("p_retailprice") / 10).cast("double"), F.lit("size"), F.col("p_size").cast("double"))).alias("metric", "v"))
+    return T.kruskal_wallis(long, "metric", "g", "v").select("metric", "n", r("h", 5), r("epsilon2", 6))
+
+
+@query("SELECT p_brand AS brand, median(p_retailprice) AS price, median(p_size) AS size, count(*) AS n FROM part GROUP BY 1")
+def t6_medians(spark, sf):
+    return load(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.median("p_retailprice").alias("price"), F.median("p_size").alias("size"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH q AS (SELECT mo, y, label FROM (SELECT c_nationkey AS mo, year(o_orderdate) AS y, o_orderpriority AS label, row_number() OVER (PARTITION BY c_nationkey, year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders JOIN customer ON c_custkey = o_custkey) WHERE pos = 1), x AS (SELECT *, lead(label) OVER (PARTITION BY mo ORDER BY y) AS next FROM q) SELECT y AS year, label, next, count(*) AS n FROM x GROUP BY 1, 2, 3""")
+def s9_ribbons(spark, sf):
+    """How many entities go from one type to the next, period by period; no next type in an entity's last period."""
+    o = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("mo"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("label"), "o_totalprice", "o_orderkey")
+    q = P.keep_first(o, ["mo", "year"], [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+    return q.withColumn("next", F.lead("label").over(Window.partitionBy("mo").orderBy("year"))).groupBy("year", "label", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def j15_one_to_one(spark, sf):
+    """Names of two lists paired one to one, the most similar first, from a ratio of 0.6 on."""
+    refs = load(spark, sf, "place_refs").where("kind <> 'locality'").select(F.col("place_id").alias("b"), F.lower("name").alias("n"))
+    keys = load(spark, sf, "municipalities").select(F.col("mo_id").alias("a"), F.lower(F.regexp_replace("name", "^(ГО город|МР) ", "")).alias("v"))
+    return N.greedy_pairs(N.name_ratios(keys, "a", "v", refs, "b", "n", 0.6))

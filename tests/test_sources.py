@@ -111,3 +111,20 @@ def test_small_operators(spark, tmp_path):
     assert {(r["src"], r["dst"]): r["w"] for r in N.road_distance(roads, nodes, "road").collect()} == {(1, 2): 4.0, (2, 1): 4.0, (1, 3): None, (3, 1): None, (2, 3): None, (3, 2): None}
     with pytest.raises(Exception, match="(?i)exist"):
         writers.create_table(nodes, str(tmp_path / "t")) and writers.create_table(nodes, str(tmp_path / "t"))
+
+
+def test_pairs_one_to_one_against_taking_one_after_the_other(spark):
+    rng = np.random.default_rng(8)
+    scores = [(int(a), int(b), float(rng.integers(6, 10)) / 10) for a in range(12) for b in range(9) if rng.random() < 0.6]
+    want, used_a, used_b = [], set(), set()
+    for a, b, s in sorted(scores, key=lambda x: (-x[2], x[0], x[1])):
+        if a not in used_a and b not in used_b:
+            want.append((a, b, s))
+            used_a.add(a)
+            used_b.add(b)
+    df = spark.createDataFrame(scores, "a int, b int, ratio double")
+    assert sorted(map(tuple, N.greedy_pairs(df).collect())) == sorted(want)
+    assert N.greedy_pairs(df.limit(0)).count() == 0
+    names = spark.createDataFrame([(1, "белебей"), (2, ""), (3, None)], "i int, x string")
+    other = spark.createDataFrame([(5, "белибей"), (6, "уфа")], "j int, y string")
+    assert [(r["a"], r["b"], round(r["ratio"], 3)) for r in N.name_ratios(names, "i", "x", other, "j", "y", 0.6).collect()] == [(1, 5, 0.857)]
