@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from okrug.session import HOT_SHARE, written
 
-DAY_US = 86_400_000_000
+#: Length of a slice, and the parts of one that holds too many rows.
+DAY_US, FINER = 86_400_000_000, 1024
 
 
 def last_known(events: DataFrame, changes: DataFrame, keys: list[str], time: str, event_id: str, change_id: str, order: list[str], slice_us: int = DAY_US) -> DataFrame:
@@ -19,7 +20,7 @@ def last_known(events: DataFrame, changes: DataFrame, keys: list[str], time: str
     empty result; other columns are ignored.
 
     Changes at one instant are reduced to one before the shuffle. Keys that hold one row in 1024 or more (at most 1024 keys,
-    so the list can be broadcast) are cut into slices of `slice_us`; the last change of each slice, one row a slice, is carried
+    so the list can be broadcast) are cut into slices of `slice_us`, and slices that hold as many rows into FINER parts; the last change of each slice, one row a slice, is carried
     into the following slices, so that no task sorts more of a hot key than one slice.
     """
     here = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
@@ -34,7 +35,12 @@ def last_known(events: DataFrame, changes: DataFrame, keys: list[str], time: str
     counts = line.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
     total = line.count()
     hot = written(counts.where(F.col("n") * HOT_SHARE >= max(total, HOT_SHARE)).select(*k, F.lit(True).alias("hot")), "as-of-hot")
-    line = line.join(F.broadcast(hot), k, "left").withColumn("slice", F.when(F.col("hot"), F.floor(F.col("t") / slice_us)).otherwise(0)).drop("hot")
+    line = line.join(F.broadcast(hot), k, "left").withColumn("slice", F.when(F.col("hot"), F.floor(F.col("t") / slice_us)).otherwise(0))
+    # slices that are hot themselves, at most 1024 again, are cut into finer ones
+    full = line.where("hot").groupBy(*k, "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE >= max(total, HOT_SHARE))
+    full = written(full.select(*k, "slice", F.lit(True).alias("full")), "as-of-full-slices")
+    part = F.when(F.col("full"), F.floor(F.pmod(F.col("t"), F.lit(slice_us)) * FINER / slice_us)).otherwise(0)
+    line = line.join(F.broadcast(full), [*k, "slice"], "left").withColumn("slice", F.col("slice") * FINER + part).drop("hot", "full")
     # one row a slice of a hot key: its last change, carried into later slices as a change before everything else
     last = F.max_by("change", F.when(F.col("change").isNotNull(), F.col("t"))).alias("last")
     slices = line.join(F.broadcast(hot), k, "left_semi").groupBy(*k, "slice").agg(last)
