@@ -167,11 +167,14 @@ def s_dbw(points: DataFrame, label: str, vector: str) -> DataFrame:
     sig, whole = norm(flat, ["g"]), norm(flat, []).select(F.col("sig").alias("all"))
     parts = sig.agg(F.avg("sig").alias("mean"), (F.sqrt(F.sum("sig")) / F.count(F.lit(1))).alias("stdev"), F.count(F.lit(1)).alias("k"))
     c = few(centroids(p, "g", "v").select("g", "c"))
-    pair = c.select(F.col("g").alias("i"), F.col("c").alias("ci")).join(F.broadcast(c.select(F.col("g").alias("j"), F.col("c").alias("cj"))), F.col("i") < F.col("j"))
-    pair = pair.join(F.broadcast(parts.select("stdev"))).withColumn("u", F.transform(F.zip_with("ci", "cj", lambda x, y: x + y), lambda x: x / 2))
-    met = p.join(F.broadcast(pair.withColumn("g", F.explode(F.array("i", "j")))), "g")
+    # only the centres go out; each point meets the others than its own
+    other = c.select(F.col("g").alias("j"), F.col("c").alias("cj"))
+    met = p.join(c, "g").join(F.broadcast(other), F.col("g") != F.col("j")).join(F.broadcast(parts.select("stdev")))
     near = lambda x: F.count_if(squared("v", x) <= F.col("stdev") * F.col("stdev"))
-    d = met.groupBy("i", "j").agg(near("u").alias("u"), near("ci").alias("a"), near("cj").alias("b"))
+    middle = F.transform(F.zip_with("c", "cj", lambda x, y: x + y), lambda x: x / 2)
+    by_pair = met.withColumn("u", middle).groupBy(F.least("g", "j").alias("i"), F.greatest("g", "j").alias("k"), "g").agg(near("u").alias("u"), near("c").alias("own"), near("cj").alias("far"))
+    first = F.col("g") == F.col("i")
+    d = by_pair.groupBy("i", "k").agg(F.sum("u").alias("u"), F.sum(F.when(first, F.col("own")).otherwise(F.col("far"))).alias("a"), F.sum(F.when(first, F.col("far")).otherwise(F.col("own"))).alias("b"))
     between = d.agg(F.avg(F.coalesce(F.try_divide(F.col("u"), F.nullif(F.greatest("a", "b"), F.lit(0))), F.lit(0.0))).alias("dens"))
     return parts.join(whole).join(between).select((F.col("mean") / (F.col("all") + 1e-12) + F.col("dens")).alias("s_dbw"))
 

@@ -10,7 +10,7 @@ from okrug.operators import quality as C
 from okrug.operators.timestamps import normalise_timestamps
 from okrug.plans.base import K, contracts, r, registry
 from okrug.plans.problem_sql import VALID
-from okrug.session import load
+from okrug.session import load, small
 
 QUERIES, ORACLE, query = registry()
 
@@ -25,7 +25,7 @@ CHECKED = """SELECT 'sources known' AS "check", count(*) FILTER (source_id NOT I
 def k_quality_report(spark, sf):
     s, a, k = (load(spark, sf, t) for t in ("msp_snapshot_rows", "atmo_contract_observations", "contracts_msp_enriched"))
     sources = load(spark, sf, "sources")
-    joined = k.join(F.broadcast(sources.select(F.col("source_id").alias("import_source_id"), "role")), "import_source_id", "left")
+    joined = k.join(small(sources.select(F.col("source_id").alias("import_source_id"), "role")), "import_source_id", "left")
     return C.report([
         C.orphans(s, "sources known", "source_id", sources, "source_id"),
         C.repeated_keys(s, "row ids unique", ["row_id"]),

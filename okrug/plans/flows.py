@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from okrug.operators import panel as P
 from okrug.plans.base import registry
-from okrug.session import fresh_path, load
+from okrug.session import fresh_path, load, small
 from okrug.sources import readers as R
 from okrug.sources import writers as W
 from okrug.streaming import events as S
@@ -50,7 +50,7 @@ def src6_documents(spark, sf):
 def src13_html_rows(spark, sf):
     """Tables of HTML pages, one page a nation."""
     n = load(spark, sf, "nation").select("n_nationkey", "n_name")
-    s = load(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = load(spark, sf, "supplier").join(small(n), F.col("s_nationkey") == F.col("n_nationkey"))
     row = F.concat(F.lit("<tr><td>"), F.col("s_suppkey"), F.lit("</td><td><b>"), F.col("s_name"), F.lit("</b></td><td>&nbsp;"), F.col("n_name"), F.lit("</td></tr>"))
     pages = s.groupBy("n_nationkey").agg(F.concat(F.lit("<script><tr><td>0</td></tr></script><table>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
     rows = R.html_rows(pages, "html", 3)

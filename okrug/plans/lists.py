@@ -12,7 +12,7 @@ from okrug.operators import stats as T
 from okrug.operators import validity as V
 from okrug.plans import network as Q
 from okrug.plans.base import K, contracts, r, registry
-from okrug.session import load
+from okrug.session import load, small
 
 QUERIES, ORACLE, query = registry()
 
@@ -172,7 +172,7 @@ def u9_edges_of_one(spark, sf):
 @query(f"WITH {Q.FLOW}, {Q.KNN}, {Q.LAB} SELECT node, CAST(row_number() OVER (ORDER BY label, round(s, 6) DESC, node) AS INT) AS place FROM (SELECT src AS node, label, sum(w) AS s FROM net JOIN lab ON lab.node = src GROUP BY 1, 2)")
 def s12_matrix_order(spark, sf):
     s = Q._net(spark, sf).groupBy(F.col("src").alias("node")).agg(F.round(F.sum("w"), 6).alias("s"))
-    return s.join(F.broadcast(Q._labels(spark, sf)), "node").select("node", F.row_number().over(Window.orderBy("label", F.col("s").desc(), "node")).alias("place"))
+    return s.join(small(Q._labels(spark, sf)), "node").select("node", F.row_number().over(Window.orderBy("label", F.col("s").desc(), "node")).alias("place"))
 
 
 @query(f"""WITH {Q.RES}, z AS (SELECT mo, t, (res - avg(res) OVER (PARTITION BY mo)) / (stddev_pop(res) OVER (PARTITION BY mo) + 1e-12) AS z FROM e), l AS (SELECT unnest([1, 2, 3]) AS lag), c AS (SELECT a.mo AS src, b.mo AS dst, lag, sum(a.z * b.z) / (80 - lag) AS w FROM z a JOIN l ON true JOIN z b ON b.t = a.t + lag AND a.mo <> b.mo GROUP BY 1, 2, 3),

@@ -17,7 +17,7 @@ from okrug.operators import stats as T
 from okrug.operators import validity as V
 from okrug.plans import network as Q
 from okrug.plans.base import K, contracts, r, registry
-from okrug.session import load
+from okrug.session import load, small
 
 QUERIES, ORACLE, query = registry()
 
@@ -201,7 +201,7 @@ def n15_edge_export(spark, sf):
 @query("SELECT c_mktsegment AS type, n_regionkey AS macro, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
 def s5_profiles_and_nesting(spark, sf):
     n = load(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("macro"))
-    return load(spark, sf, "customer").join(F.broadcast(n), "c_nationkey").groupBy(F.col("c_mktsegment").alias("type"), "macro").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    return load(spark, sf, "customer").join(small(n), "c_nationkey").groupBy(F.col("c_mktsegment").alias("type"), "macro").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
 
 
 @query("""WITH x AS (SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS n FROM events GROUP BY 1) SELECT count(*) AS users, count(*) FILTER (kinds = 1) AS never_changed, round(avg(kinds), 6) AS mean_kinds FROM x""")
@@ -253,5 +253,5 @@ def j15_fuzzy_names(spark, sf):
     """The nearest name of each key by edits; both sides are short lists."""
     refs = load(spark, sf, "place_refs").where("kind <> 'locality'").select("place_id", F.lower("name").alias("n"))
     keys = load(spark, sf, "municipalities").select(F.lower(F.regexp_replace("name", "^(ГО город|МР) ", "")).alias("v")).distinct()
-    near = keys.join(F.broadcast(refs), F.abs(F.length("n") - F.length("v")) <= 2).withColumn("d", F.levenshtein("n", "v"))
+    near = keys.join(V.few(refs), F.abs(F.length("n") - F.length("v")) <= 2).withColumn("d", F.levenshtein("n", "v"))
     return near.groupBy("v").agg(F.min(F.struct("d", "place_id")).alias("m")).select("v", "m.place_id", F.col("m.d").cast("bigint").alias("d")).where("d <= 3")

@@ -13,7 +13,7 @@ from okrug.operators import panel as P
 from okrug.operators import stats as T
 from okrug.operators import validity as V
 from okrug.plans.base import K, contracts, r, registry
-from okrug.session import load, written
+from okrug.session import load, small, written
 
 QUERIES, ORACLE, query = registry()
 
@@ -272,7 +272,7 @@ def m4_analogs(spark, sf):
 def i2_anomalies(spark, sf):
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"), "c_acctbal")
     m = c.groupBy("type").agg(F.median("c_acctbal").alias("med"))
-    off = c.join(F.broadcast(m), "type").withColumn("off", F.col("c_acctbal") - F.col("med")).where("abs(off) > 5000")
+    off = c.join(small(m), "type").withColumn("off", F.col("c_acctbal") - F.col("med")).where("abs(off) > 5000")
     return P.top_k(off, ["type"], [F.abs("off").desc(), F.col("id")], 5).select("id", "type", r("off", 3), "rank")
 
 

@@ -9,7 +9,7 @@ from okrug.functions.registry import inn_valid, with_normal_inn
 from okrug.operators import panel as P
 from okrug.operators.timestamps import normalise_timestamps
 from okrug.plans.base import K, contracts, r, registry
-from okrug.session import load
+from okrug.session import load, small
 
 QUERIES, ORACLE, query = registry()
 QTR = "CAST(year(d) AS VARCHAR) || 'Q' || CAST(quarter(d) AS VARCHAR)"
@@ -131,7 +131,7 @@ def a21_argmax(spark, sf):
 def a23_type_flow(spark, sf):
     t = load(spark, sf, "nation")
     a, b = (t.select(F.col("n_nationkey").alias(f"{s}_mo"), F.col("n_regionkey").alias(f"{to}_type")) for s, to in (("supplier", "from"), ("customer", "to")))
-    return contracts(spark, sf).join(F.broadcast(a), "supplier_mo").join(F.broadcast(b), "customer_mo").groupBy("from_type", "to_type").agg(F.round(F.sum("price"), 2).alias("volume"), F.count(F.lit(1)).alias("n"))
+    return contracts(spark, sf).join(small(a), "supplier_mo").join(small(b), "customer_mo").groupBy("from_type", "to_type").agg(F.round(F.sum("price"), 2).alias("volume"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT lang, count(*) AS n, count(mo_id) AS placed, count(*) - count(mo_id) AS missing, CAST(coalesce(sum(n_chars) FILTER (mo_id IS NOT NULL), 0) AS BIGINT) AS chars FROM documents GROUP BY 1")
@@ -307,7 +307,7 @@ def f11_status_join_all(spark, sf):
 def f12_conflict_resolution(spark, sf):
     ref = load(spark, sf, "place_refs")
     d, c = (ref.where(F.col("kind") == kind).groupBy(F.col("name").alias(f"{kind}_raw")).agg(F.min("mo_id").alias(f"{kind}_mo")) for kind in ("district", "city"))
-    s = load(spark, sf, "msp_snapshot_rows").select("row_id", "district_raw", "city_raw").join(F.broadcast(d), "district_raw", "left").join(F.broadcast(c), "city_raw", "left")
+    s = load(spark, sf, "msp_snapshot_rows").select("row_id", "district_raw", "city_raw").join(small(d), "district_raw", "left").join(small(c), "city_raw", "left")
     both = F.col("district_mo") != F.col("city_mo")
     method = F.when(both, "conflict").when(F.col("district_mo").isNotNull(), "district").when(F.col("city_mo").isNotNull(), "city").otherwise("none")
     return s.select("row_id", method.alias("method"), F.when(both, None).otherwise(F.coalesce("district_mo", "city_mo")).alias("mo"))
@@ -326,7 +326,7 @@ def j4_panel_outer(spark, sf):
     a = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("mo"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("orders"))
     b = load(spark, sf, "lineitem").join(load(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("mo"), F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("lines"))
     n = load(spark, sf, "nation").select(F.col("n_nationkey").alias("mo"), "n_name")
-    return a.join(b, ["mo", "year"], "full_outer").join(F.broadcast(n), "mo", "left")
+    return a.join(b, ["mo", "year"], "full_outer").join(small(n), "mo", "left")
 
 
 @query("""WITH c AS (SELECT substr(lpad(customer_inn, 10, '0'), 1, 7) AS prefix, law, count(*) AS n FROM contracts_msp_enriched WHERE customer_inn IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY prefix) AS total, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, law) AS pos FROM c) SELECT prefix, law AS mode_value, round(n / total, 6) AS confidence, CAST(total AS BIGINT) AS total FROM t WHERE pos = 1""")

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A key that holds at least one row in HOT_SHARE is treated as hot. At most HOT_SHARE keys can do
 #: so, whatever the size of the data; that is the proven bound of every table of hot keys.
@@ -79,6 +80,11 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return back
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `most` rows, which are counted first, else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes the tables behind frames of written() or bucketed(), which nothing may read any more."""
     for df in frames:
