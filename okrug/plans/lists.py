@@ -53,10 +53,10 @@ def j2_prefix_map_twice(spark, sf):
     return both.groupBy("customer_zone", "supplier_zone").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("supplier_inn").isNotNull() & F.col("supplier_prefix").isNull()).alias("outside"))
 
 
-@query(f"""WITH {K}, d AS (SELECT supplier_mo AS a, customer_mo AS b, avg(price) AS w, max(segment) AS kind FROM k WHERE segment = 'BUILDING' GROUP BY 1, 2), s AS (SELECT a, b, w FROM d UNION ALL SELECT b, a, w FROM d), m AS (SELECT a, b, min(w) AS w FROM s WHERE a <> b GROUP BY 1, 2) SELECT x.n_nationkey AS src, y.n_nationkey AS dst, round(w, 2) AS w FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey LEFT JOIN m ON m.a = x.n_nationkey AND m.b = y.n_nationkey""")
+@query(f"""WITH {K}, d AS (SELECT supplier_mo AS a, customer_mo AS b, avg(price) AS w, max(segment) AS kind FROM k WHERE segment = 'BUILDING' GROUP BY 1, 2), s AS (SELECT a, b, w FROM d UNION ALL SELECT b, a, w FROM d), m AS (SELECT a, b, min(w) AS w FROM s WHERE a <> b GROUP BY 1, 2) SELECT x.n_nationkey AS src, y.n_nationkey AS dst, round(w, 6) AS w FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey LEFT JOIN m ON m.a = x.n_nationkey AND m.b = y.n_nationkey""")
 def n10_road_distance(spark, sf):
     roads = contracts(spark, sf).groupBy(F.col("supplier_mo").alias("src"), F.col("customer_mo").alias("dst"), F.col("segment").alias("type")).agg(F.avg("price").alias("w"))
-    return N.road_distance(roads, load(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), "BUILDING").select("src", "dst", r("w", 2))
+    return N.road_distance(roads, load(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), "BUILDING").select("src", "dst", r("w", 6))
 
 
 @query(f"""WITH {K}, f AS (SELECT supplier_mo AS mo, sum(price) AS s FROM k WHERE supplier_mo <> customer_mo GROUP BY 1), p AS (SELECT c_nationkey AS mo, count(*) AS n FROM customer GROUP BY 1) SELECT n_nationkey AS mo, round(coalesce(s, 0) / n, 4) AS supplied FROM nation LEFT JOIN f ON f.mo = n_nationkey LEFT JOIN p ON p.mo = n_nationkey""")
